@@ -98,7 +98,7 @@ def points_in_regions(
 
     lat, lon = F.col("lat"), F.col("lon")
     spans = (F.least("y1", "y2") <= lat) & (lat < F.greatest("y1", "y2"))
-    at = F.col("x1") + (lat - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
+    at = F.col("x1") + F.coalesce(F.try_divide((lat - F.col("y1")) * (F.col("x2") - F.col("x1")), F.col("y2") - F.col("y1")), F.lit(0.0))
     level = (F.col("y1") == F.col("y2")) & (lat == F.col("y1")) & lon.between(F.least("x1", "x2"), F.greatest("x1", "x2"))
     vertex = ((lat == F.col("y1")) & (lon == F.col("x1"))) | ((lat == F.col("y2")) & (lon == F.col("x2")))
     crosses, touches = spans & (lon < at), (spans & (lon == at)) | level | vertex
@@ -190,12 +190,17 @@ def near_pairs(points: DataFrame, radius_m: float, *, strip_factor: float = 2.0)
     return found.select(F.col("region_id").alias("id_a"), F.col("point_id").alias("id_b"), distance.alias("distance_m")).where(F.col("distance_m") <= radius_m)
 
 
+#: Hulls are drawn this many degrees (about a centimetre) outside their outermost points.
+HULL_PAD_DEG = 1e-7
+
+
 def footprints(points: DataFrame, group_col: str) -> DataFrame:
     """Octagonal hull of each group's points, as (region_id, ring). Groups whose points span the date line get a wide hull."""
+    pad = F.lit(HULL_PAD_DEG)
     lat, lon = F.col("lat"), F.col("lon")
     h = points.where(F.col(group_col).isNotNull()).groupBy(F.col(group_col).alias("region_id")).agg(
-        F.min(lon).alias("w"), F.max(lon).alias("e"), F.min(lat).alias("s"), F.max(lat).alias("n"),
-        F.min(lon + lat).alias("sw"), F.max(lon + lat).alias("ne"), F.min(lon - lat).alias("nw"), F.max(lon - lat).alias("se"),
+        (F.min(lon) - pad).alias("w"), (F.max(lon) + pad).alias("e"), (F.min(lat) - pad).alias("s"), (F.max(lat) + pad).alias("n"),
+        (F.min(lon + lat) - pad).alias("sw"), (F.max(lon + lat) + pad).alias("ne"), (F.min(lon - lat) - pad).alias("nw"), (F.max(lon - lat) + pad).alias("se"),
     )
     c = F.col
     corners = [
