@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from viewlake.llm import cutoffs, grouping, quantiles, survivors
+from viewlake.llm import cutoffs, grouping, mixing, packing, quantiles, survivors, tokens
 from viewlake.operators.spatial import valid_position
 from viewlake.session import Scratch, table
 
@@ -123,9 +123,53 @@ def p5_cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cutoffs(spark, sf_dir)[1]
 
 
+# -- 7: containers
+
+
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = Scratch(spark).write(tokens.with_token_counts(documents, "text"), "tokens")
+    return packing.pack(counted, table(spark, sf_dir, "pack_targets"), "doc_id", "n_tokens")
+
+
+def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content of each container: the texts, and pieces of texts above the capacity, with their tokens."""
+    return _packed(spark, sf_dir).withColumnsRenamed({"item": "doc_id", "size": "n_tokens"})
+
+
+def p7_unused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per kind of container: how many were filled, tokens in them, unused space and its share."""
+    b = packing.bins(_packed(spark, sf_dir))
+    return b.groupBy("container", "capacity").agg(
+        F.count(F.lit(1)).alias("containers"), F.sum("used").alias("tokens"), F.sum("unused").alias("unused"), (F.sum("unused") / F.sum("capacity")).alias("unused_share"),
+    )
+
+
+# -- 8: mixtures
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    documents = table(spark, sf_dir, "documents")
+    language = F.when(F.col("lang").isNull() | F.lower("lang").isin("und", ""), "").otherwise(F.lower(F.substring("lang", 1, 2)))
+    rows = documents.select("doc_id", "text", "source", F.substring_index("source", "-", 1).alias("domain"), language.alias("language"))
+    counted = tokens.with_token_counts(rows, "text")
+    return mixing.mix_sources(counted, table(spark, sf_dir, "mix_targets"), ident="doc_id", source="source", size="n_tokens", domain="domain", language="language")
+
+
+def p8_drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drawn documents of each mix with their repeats."""
+    return _mixed(spark, sf_dir)[0].withColumnRenamed("size", "n_tokens")
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of each source in each mix."""
+    return _mixed(spark, sf_dir)[1]
+
+
 def queries() -> dict:
     found = (
         p1_daily_percentiles, p1_folder_percentiles, p3_found, p3_without_late_times, p4_found, p4_group_sizes, p5_found, p5_cutoffs,
+        p7_packed, p7_unused, p8_drawn, p8_shares,
     )
     return {f.__name__: f for f in found}
 
