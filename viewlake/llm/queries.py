@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from viewlake.llm import cutoffs, grouping, mixing, packing, quantiles, survivors, tokens
+from viewlake.llm import cutoffs, grouping, mixing, packing, quantiles, residue, survivors, tokens
 from viewlake.operators.spatial import valid_position
 from viewlake.session import Scratch, table
 
@@ -166,10 +166,29 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixed(spark, sf_dir)[1]
 
 
+# -- 9: residue
+
+
+def _residue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").where(F.col("doc_id").isNotNull())
+    return residue.find_residue(documents, "doc_id", "text")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with template fields, filler, or nothing but error messages and script notices."""
+    return _residue(spark, sf_dir).where("residue").select("doc_id")
+
+
+def p9_residue_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by the kinds of residue in them."""
+    notice = (F.col("notice_share") >= residue.COVERAGE).alias("notice")
+    return _residue(spark, sf_dir).groupBy("template", "filler", notice).agg(F.count(F.lit(1)).alias("documents"))
+
+
 def queries() -> dict:
     found = (
         p1_daily_percentiles, p1_folder_percentiles, p3_found, p3_without_late_times, p4_found, p4_group_sizes, p5_found, p5_cutoffs,
-        p7_packed, p7_unused, p8_drawn, p8_shares,
+        p7_packed, p7_unused, p8_drawn, p8_shares, p9_found, p9_residue_kinds,
     )
     return {f.__name__: f for f in found}
 
