@@ -11,10 +11,12 @@ to its smallest vertex and goes through the second phase with the rest.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from viewlake.operators.skew import BROADCAST_ROWS
+from viewlake.functions.columns import parse_hash
+from viewlake.operators.components import spread_minima
+from viewlake.operators.skew import BROADCAST_ROWS, Salter
 from viewlake.session import Scratch
 
 SEARCH_ROUNDS = 12
@@ -44,30 +46,6 @@ def _peel(scratch: Scratch, links: DataFrame, rounds: int) -> tuple[DataFrame, b
     return seen(), frontier.count() == 0
 
 
-def _spread_minima(scratch: Scratch, links: DataFrame) -> DataFrame:
-    """(id, label) for every vertex of ``links`` (each link once, either way round), label being the smallest vertex of its component."""
-    edges = scratch.write(links.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "star_0")
-    mark = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    before, r = mark(edges), 0
-    while before[0]:
-        near = edges.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(edges.select(F.col("v").alias("x"), F.col("u").alias("y")))
-        least = near.groupBy("x").agg(F.min("y").alias("m")).withColumn("m", F.least("m", "x"))
-        large = near.join(least, "x").where(F.col("y") > F.col("x")).select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        paired = large.join(low, "u")
-        small = paired.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        r += 1
-        edges = scratch.write(small, f"star_{r}")
-        scratch.drop(f"star_{r - 1}")
-        after = mark(edges)
-        if after == before:
-            break
-        before = after
-    roots = edges.select(F.col("v").alias("id")).distinct()
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("label")).unionByName(roots.select("id", F.col("id").alias("label")))
-
-
 def connected(scratch: Scratch, edges: DataFrame, search_rounds: int = SEARCH_ROUNDS) -> tuple[DataFrame, int | None]:
     """((id, label) of every vertex with a link to another, label of the peeled component).
 
@@ -89,7 +67,7 @@ def connected(scratch: Scratch, edges: DataFrame, search_rounds: int = SEARCH_RO
             rest = rest.join(gone.withColumnRenamed("id", end), end, "left")
             rest = rest.withColumn(end, F.when(F.col("hit"), F.lit(root)).otherwise(F.col(end))).drop("hit")
         rest = rest.where(F.col("src") != F.col("dst"))
-    labels = scratch.write(_spread_minima(scratch, rest), "labels")
+    labels = scratch.write(spread_minima(scratch, rest), "labels")
     giant = root
     if not whole:
         found = labels.where(F.col("id") == root).first()
@@ -98,14 +76,7 @@ def connected(scratch: Scratch, edges: DataFrame, search_rounds: int = SEARCH_RO
     return labels.unionByName(reached.select("id", F.lit(giant).cast("long").alias("label"))), giant
 
 
-def image_hash(text: Column) -> Column:
-    """A written 64-bit hash as bigint; null if it isn't one. Case, blanks, a leading 0x and leading zeros make no difference."""
-    plain = F.lower(F.translate(text, " \t", ""))
-    digits = F.regexp_extract(plain, "^(?:0x)?0*([0-9a-f]{1,16})$", 1)
-    return F.when(digits != "", F.conv(digits, 16, -10).cast("bigint"))
-
-
-def link_paths(records: DataFrame, pairs: DataFrame, clusters: DataFrame, max_bits: int) -> DataFrame:
+def link_paths(records: DataFrame, pairs: DataFrame, clusters: DataFrame, max_bits: int, rows_per_salt: int = 200_000) -> DataFrame:
     """(path, group_path) of every path of ``records`` that is linked to another one.
 
     records: path, perceptual_hash; of the hashes of a path the largest counts. pairs:
@@ -126,14 +97,18 @@ def link_paths(records: DataFrame, pairs: DataFrame, clusters: DataFrame, max_bi
     mentions = p.select(F.col("a").alias("path")).unionByName(p.select(F.col("b").alias("path"))).unionByName(told.select("path")).distinct()
     mentions = scratch.write(mentions, "mentions")
     few = mentions.count() <= BROADCAST_ROWS
-    known = records.where(F.col("path").isNotNull()).select("path", image_hash(F.col("perceptual_hash")).alias("h"))
+    known = records.where(F.col("path").isNotNull()).select("path", parse_hash(F.col("perceptual_hash")).alias("h"))
     known = known.join(F.broadcast(mentions) if few else mentions, "path", "left_semi").groupBy("path").agg(F.max("h").alias("h"))
     # ids rise with the paths in byte order, so that the smallest id is the smallest path
     nodes = scratch.write(known.orderBy("path").withColumn("id", F.monotonically_increasing_id()), "nodes")
 
     end = lambda c: nodes.select(F.col("path").alias(c), F.col("id").alias(f"id_{c}"), F.col("h").alias(f"h_{c}")).where(F.col("h").isNotNull())
     close = F.bit_count(F.col("h_a").bitwiseXOR(F.col("h_b"))) <= max_bits
-    alike = p.join(end("a"), "a").join(end("b"), "b").where(close).select(F.col("id_a").alias("src"), F.col("id_b").alias("dst"))
+    alike = p
+    for side, spread in (("a", "b"), ("b", "a")):
+        salter = Salter(scratch, alike, [side], rows_per_salt, f"side_{side}")
+        alike = salter.big(alike, [spread]).join(salter.other(end(side)), salter.join_keys).drop("_salt")
+    alike = alike.where(close).select(F.col("id_a").alias("src"), F.col("id_b").alias("dst"))
     # row vertices come after all paths, so that none is ever a smallest
     rows = told.join(nodes, "path").select((F.col("row") + F.lit(1 << 62)).alias("src"), F.col("id").alias("dst"))
     several = rows.groupBy("src").agg(F.min("dst").alias("a"), F.max("dst").alias("b")).where(F.col("a") != F.col("b")).select("src")
