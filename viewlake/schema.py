@@ -1,18 +1,26 @@
-"""Schemas of image records and reports."""
+"""Schemas of image records and sparse models."""
 
 from __future__ import annotations
 
 from pyspark.sql import types as T
 
-EXIF = T.StructType.fromDDL("make string, model string, focal_length_mm double, gps_latitude double, gps_longitude double")
-QUALITY = T.StructType.fromDDL(
-    "blur_score double, blur_type string, exposure_mean double, exposure_std double, clipped_ratio double, noise_score double, sky_reflective_ratio double, flags array<string>"
+_KINDS = {"string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "strings": T.ArrayType(T.StringType())}
+
+
+def fields(text: str, **nested: T.DataType) -> T.StructType:
+    """A struct from 'name kind, ...'; nested types by name. Needs no session, unlike DDL."""
+    pairs = (x.split() for x in text.split(", "))
+    return T.StructType([T.StructField(name, nested.get(kind) or _KINDS[kind]) for name, kind in pairs])
+
+
+EXIF = fields("make string, model string, focal_length_mm double, gps_latitude double, gps_longitude double")
+QUALITY = fields(
+    "blur_score double, blur_type string, exposure_mean double, exposure_std double, clipped_ratio double, noise_score double, sky_reflective_ratio double, flags strings"
 )
-IMAGE_RECORD = (
-    T.StructType().add("ord", "bigint").add("path", "string").add("width", "int").add("height", "int").add("exif", EXIF)
-    .add("converted_path", "string").add("format", "string").add("readable", "boolean").add("source_exists", "boolean")
-    .add("parent_relative", "string").add("perceptual_hash", "string").add("notes", "array<string>").add("quality_metrics", QUALITY)
+IMAGE_RECORD = fields(
+    "ord bigint, path string, width int, height int, exif exif, converted_path string, format string, readable boolean, source_exists boolean, parent_relative string, "
+    "perceptual_hash string, notes strings, quality_metrics quality",
+    exif=EXIF, quality=QUALITY,
 )
-CAMERA = T.StructType.fromDDL("camera_id int, width bigint, height bigint")
-MODEL_IMAGE = T.StructType.fromDDL("ord bigint, image_id int, camera_id int, name string")
-ISSUE = T.StructType.fromDDL("ord int, severity string, code string, message string")
+CAMERA = fields("camera_id int, width bigint, height bigint")
+MODEL_IMAGE = fields("ord bigint, image_id int, camera_id int, name string")
