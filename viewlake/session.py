@@ -58,3 +58,13 @@ class Scratch:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; a plain file or a folder of part files."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores.
+
+    Only input of fewer files than cores is dealt out anew, for work that is dear per
+    row; anything larger keeps the partitions of its scan.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
