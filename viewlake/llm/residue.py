@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from viewlake.session import Scratch
+from viewlake.session import Scratch, spread
 
 
 NGRAM = 4
@@ -297,7 +297,7 @@ def parsed(documents: DataFrame, ident: str, text: str) -> DataFrame:
             lines = ["\n".join(("1" if content else "0") + s for s, content in segs) for segs, _ in read]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t for _, t in read], pa.bool_()), pa.array(lines, pa.string())], names=[ident, "template", "segments"])
 
-    return documents.select(ident, text).mapInArrow(run, f"`{ident}` {kind}, template boolean, segments string")
+    return spread(documents.select(ident, text)).mapInArrow(run, f"`{ident}` {kind}, template boolean, segments string")
 
 
 def _windows(lines: list[str]) -> Windows:

@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from viewlake.session import spread
+
 #: Rank file of a byte-level BPE; a parameter everywhere, never copied.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The word pattern published with that vocabulary.
@@ -38,4 +40,4 @@ def with_token_counts(df: DataFrame, text: str, *, vocabulary: str = VOCABULARY,
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(counts)], names=[*keep, "n_tokens"])
 
     schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), "n_tokens bigint"])
-    return df.select(*keep, text).mapInArrow(run, schema)
+    return spread(df.select(*keep, text)).mapInArrow(run, schema)
