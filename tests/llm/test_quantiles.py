@@ -42,14 +42,15 @@ def table(spark, rows):
     return spark.createDataFrame(rows, "folder string, day date, v double, n string, vals int")
 
 
-def test_percentiles_per_day_merge_into_longer_periods(spark):
+@pytest.mark.parametrize("limit", [Q.FLUSH, 100])
+def test_percentiles_per_day_merge_into_longer_periods(spark, limit):
     rng = np.random.default_rng(5)
     rows = [("a" if i % 3 else "b", dt.date(2025, 1, 1 + i % 4), float(np.round(rng.exponential(), 2)), "x", 1) for i in range(6000)]
     rows += [("c", dt.date(2025, 1, 1), v, "x", 1) for v in (float("nan"), float("inf"), None)] + [(None, None, 7.0, "x", 1), ("tie", dt.date(2025, 1, 1), 2.0, "x", 1)] * 3
     df = table(spark, rows).repartition(5)
     keys = ["folder", "day"]
-    days = Q.merge(Q.sketch(df, keys, "v", 32), keys, 32)
-    whole = Q.percentiles(Q.merge(days, ["folder"], 32, fan_in=3), ["folder"], [0, 100, 500, 990, 1000]).collect()
+    days = Q.merge(Q.sketch(df, keys, "v", 32, limit), keys, 32, limit=limit)
+    whole = Q.percentiles(Q.merge(days, ["folder"], 32, fan_in=3, limit=limit), ["folder"], [0, 100, 500, 990, 1000]).collect()
     assert {r["folder"] for r in whole} == {"a", "b", None, "tie"}  # nothing usable, no row
     for r in whole:
         own = np.sort([v for f, _, v, _, _ in rows if f == r["folder"] and v is not None and math.isfinite(v)])

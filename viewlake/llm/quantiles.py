@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 #: Values per buffer; the rank error is about 1/k of the rows per level of merging, at most.
 BUFFER = 1024
-#: Rows (leaf) or values (merge) a task holds before it works them off.
+#: Rows (leaf) or values (merge) a task holds before it works them off; the default of ``limit``.
 FLUSH = 1_000_000
 
 SKETCH_FIELDS = [
@@ -106,7 +106,14 @@ def _group_up(table: pa.Table, keys: list[str], code: np.ndarray, n: np.ndarray,
     return _pack(table, keys, first, n, plus, minus, vals, wts, offsets)
 
 
-def _leaf(keys: list[str], value: str, k: int):
+def _plain(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The batch with fields named and nullable as in a batch built here, so that both fit into one table."""
+    lists = {"vals": pa.list_(pa.float64()), "wts": pa.list_(pa.int64())}
+    columns = [batch.column(i).cast(lists[f.name]) if f.name in lists else batch.column(i) for i, f in enumerate(batch.schema)]
+    return pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+
+def _leaf(keys: list[str], value: str, k: int, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
@@ -121,7 +128,7 @@ def _leaf(keys: list[str], value: str, k: int):
         for batch in batches:
             if batch.num_rows:
                 held.append(batch)
-            if sum(b.num_rows for b in held) >= FLUSH:
+            if sum(b.num_rows for b in held) >= limit:
                 yield from flush()
         if held:
             yield from flush()
@@ -129,7 +136,7 @@ def _leaf(keys: list[str], value: str, k: int):
     return run
 
 
-def _merge(keys: list[str], k: int):
+def _merge(keys: list[str], k: int, limit: int):
     """For partitions sorted by key: only the last key of a buffer can go on in the next."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +157,7 @@ def _merge(keys: list[str], k: int):
             if last:
                 yield out
             else:
-                held.append(out.slice(out.num_rows - 1))
+                held.append(_plain(out.slice(out.num_rows - 1)))
                 if out.num_rows > 1:
                     yield out.slice(0, out.num_rows - 1)
 
@@ -158,9 +165,9 @@ def _merge(keys: list[str], k: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held.append(batch)
+            held.append(_plain(batch))
             size += len(batch.column("vals").flatten())
-            if size >= FLUSH:
+            if size >= limit:
                 yield from work(False)
                 size = 0
         if held:
@@ -173,23 +180,23 @@ def _schema(df: DataFrame, keys: list[str], more: list[T.StructField]) -> T.Stru
     return T.StructType([df.schema[c] for c in keys] + more)
 
 
-def sketch(df: DataFrame, keys: list[str], value: str, k: int = BUFFER) -> DataFrame:
+def sketch(df: DataFrame, keys: list[str], value: str, k: int = BUFFER, limit: int = FLUSH) -> DataFrame:
     """Partial sketches (several rows per key) of a numeric column; null, NaN and infinite values are left out. A null key is a key."""
     v = F.col(value).cast("double")
     usable = v.isNotNull() & ~F.isnan(v) & (F.abs(v) != F.lit(float("inf")))
     rows = df.select(*keys, v.alias(value)).where(usable)
-    return rows.mapInArrow(_leaf(keys, value, k), _schema(rows, keys, SKETCH_FIELDS))
+    return rows.mapInArrow(_leaf(keys, value, k, limit), _schema(rows, keys, SKETCH_FIELDS))
 
 
-def merge(sketches: DataFrame, keys: list[str], k: int = BUFFER, fan_in: int = 0) -> DataFrame:
+def merge(sketches: DataFrame, keys: list[str], k: int = BUFFER, fan_in: int = 0, limit: int = FLUSH) -> DataFrame:
     """One sketch per key. With ``fan_in`` > 0, sketches of a key are first put together in that many parts, for keys spread over very many tasks."""
     rows = sketches.select(*keys, *(f.name for f in SKETCH_FIELDS))
     schema = _schema(rows, keys, SKETCH_FIELDS)
     if fan_in:
         part = rows.withColumn("_part", F.pmod(F.spark_partition_id(), F.lit(fan_in)))
         part = part.repartition(*keys, "_part").sortWithinPartitions(*keys)
-        rows = part.select(*rows.columns).mapInArrow(_merge(keys, k), schema)
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_merge(keys, k), schema)
+        rows = part.select(*rows.columns).mapInArrow(_merge(keys, k, limit), schema)
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_merge(keys, k, limit), schema)
 
 
 def _ordered(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
