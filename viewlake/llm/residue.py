@@ -102,16 +102,17 @@ ABOUT = re.compile(
 )
 CODE = re.compile(r"\bfor \w+ in\b|\bprint\(|\bSELECT\b.{1,80}\bFROM\b|\s--[a-z]+|;\s*do\b|\bdone\b|\w\(\)|\bimport \w+|\bdef \w+\(|^\s*\w+ = [\[{(]|\becho\b|\bgrep\b|=>|\bif \(|\breturn\b \w+;")
 QUOTED = re.compile(r"(?<![\w])'[^'\n]{10,400}?'(?![\w])|(?<![\w])'[^\n]{10,400}?[.!?\w]'(?=[\s,.;:)]|$)|\"[^\"\n]{10,400}\"|“[^”\n]{10,400}”|‘[^\n]{10,400}?’(?!\w)|„[^“”\n]{10,400}[“”]|「[^」\n]{5,300}」|« [^»\n]{6,300} »")
-QUOTES = re.compile("['\"“‘„「«]")
+QUOTES = re.compile("(?<!\\w)['\"“‘„「«]")
 ENDS = re.compile(r"[.!?。！？…:;]['\"”’»)\]]*$")
-SPLIT = re.compile(r"(?<=[.!?])\s+(?=\S)|(?<=[。！？])")
+SPLIT = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])")
+SPLIT_ASCII = re.compile(r"(?<=[.!?])\s+")
 MOJIBAKE = re.compile("[ÃÂã]")
 FOREIGN, LATIN = re.compile("[Ͱ-ӿԀ-ԯ]"), re.compile("[a-zA-Z]")
 LINE_ENDS = re.compile("\r\n?|[\v\f\x1c-\x1e\x85\u2028\u2029]")
 OPEN = re.compile(r"(?:\{[{%]|<%=?|\[\[|\$\{|<<|«|_{4})[^\]}>»_]{0,40}$")
 MARK_STARTS = re.compile(r"[{\[<%$@*«]|__|\#[{\#]")
-LISTED = re.compile(r"\s[|/>·•–—-]\s|[,;、]\s?")
-BLANKS = re.compile(r"[^\S\n]+")
+SEPARATORS = (",", ";", "、", " | ", " / ", " > ", " - ", " · ", " • ", " – ", " — ")
+BLANKS = re.compile(r" ?[^\S\n ][^\S\n]*| {2,}[^\S\n]*")
 DIGITS = re.compile(r"\d[\d.,:/\-]*")
 
 
@@ -142,7 +143,7 @@ def paragraphs(text: str) -> list[str]:
         line = line.strip()
         if not line:
             out.append("")
-        elif out and out[-1] and (OPEN.search(out[-1]) or cased and not ENDS.search(out[-1]) and (line[0].islower() or out[-1][-1] == ",") and len(out[-1]) > 12):
+        elif out and out[-1] and (OPEN.search(out[-1][-60:]) or cased and not ENDS.search(out[-1][-6:]) and (line[0].islower() or out[-1][-1] == ",") and len(out[-1]) > 12):
             out[-1] += " " + line
         else:
             out.append(line)
@@ -179,16 +180,17 @@ def segments(line: str) -> list[tuple[str, bool]]:
         return []
     words = bare.count(" ") + 1
     if words < 400:
-        pieces = len(LISTED.findall(bare)) + 1
+        pieces = 1 + sum(map(bare.count, SEPARATORS))
         if pieces >= 4 and words <= 3.5 * pieces:
             return [(DIGITS.sub("0", bare.lower()), False)]
-    if words <= 8 and not ENDS.search(bare):
+    if words <= 8 and not ENDS.search(bare[-6:]):
         return [(DIGITS.sub("0", bare.lower()), False)]
     if QUOTES.search(bare):
         kept = QUOTED.sub(" ", bare)
         if len(kept) < len(bare) and sum(map(str.isalpha, kept)) >= 20:
             bare = kept
-    return [(s.strip(), True) for s in SPLIT.split(DIGITS.sub("0", bare.lower())) if s.strip()]
+    split = SPLIT_ASCII if bare.isascii() else SPLIT
+    return [(s.strip(), True) for s in split.split(DIGITS.sub("0", bare.lower())) if s.strip()]
 
 
 def hashed(text: str) -> np.ndarray:
