@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,6 +24,18 @@ def test_component_order(spark):
     assert [r["path"] for r in got.collect()] == ["/a/b", "/a/b/x.png", "/a/b/x.png/y", "/a/b.c/x.png"]
 
 
+def test_component_order_over_several_parts(spark):
+    rng = random.Random(1)
+    rows = sorted({(rng.choice(["a", "b", None]), "/".join(rng.choice(["x", "x.y", "x-1", "é", ""]) for _ in range(rng.randint(1, 5)))) for _ in range(400)}, key=str)
+    df = spark.createDataFrame(rows, "g string, path string").repartition(7)
+    got = {(r["g"], r["path"]): r["place"] for r in stats.component_order(df, "g", "path", C.path_order(F.col("path"))).collect()}
+    want = {}
+    for g in ("a", "b", None):
+        for i, p in enumerate(sorted((p for k, p in rows if k == g), key=lambda p: [x.encode() for x in p.split("/")]), 1):
+            want[g, p] = i
+    assert got == want
+
+
 def test_parent_key(spark):
     got = {p: one(spark, p, lambda c: C.parent_key(c, "/data/set")) for p in ("/data/set/x.png", "/data/set/a/b/x.png", "/data/setx/y.png", "/other/z/x.png")}
     assert got == {"/data/set/x.png": ".", "/data/set/a/b/x.png": "a/b", "/data/setx/y.png": "setx", "/other/z/x.png": "z"}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from viewlake.config import FOLDER_IMAGES
 from viewlake.functions.columns import has_exif, has_size, orientation, pixels, resolution_label
+from viewlake.session import Scratch
 
 
 def _sized(records: DataFrame) -> DataFrame:
@@ -86,5 +87,19 @@ def first_per_bucket(rows: DataFrame, key: str, time: str, seconds: float, tie:
 
 
 def component_order(records: DataFrame, group: str, path: str, key: Column) -> DataFrame:
-    """Place of each path of a group in component order."""
-    return records.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(key, path)))
+    """Place (from 1) of each path of a group in the order of ``key``, then path.
+
+    The rows are range-partitioned by group and key, so a large group is sorted in several tasks;
+    a place is the row's position in its part plus the rows of its group in parts before.
+    """
+    scratch = Scratch(records.sparkSession)
+    rows = records.withColumn("_key", key)
+    sorted_rows = rows.repartitionByRange(F.col(group), F.col("_key"), F.col(path)).sortWithinPartitions(group, "_key", path).drop("_key")
+    numbered = scratch.write(sorted_rows.withColumn("_id", F.monotonically_increasing_id()), "sorted")
+    # the upper bits of the number are the part, the lower 33 the position in it
+    numbered = numbered.withColumn("_part", F.shiftright("_id", 33)).withColumn("_at", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_id")
+    parts = numbered.groupBy(group, "_part").agg(F.count(F.lit(1)).alias("_rows"), F.min("_at").alias("_first"))
+    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(F.col(group).alias("_group"), F.col("_part").alias("_p"), "_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    joined = numbered.join(parts, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_part") == F.col("_p")))
+    return joined.withColumn("place", F.col("_at") - F.col("_first") + F.col("_before") + 1).drop("_part", "_at", "_group", "_p", "_first", "_before")

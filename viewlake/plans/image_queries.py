@@ -374,7 +374,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "supported_files": """SELECT s AS suffix, s IN ('.jpg', '.jpeg', '.png', '.bmp', '.tif', '.tiff', '.webp', '.ppm') AS supported, count(*) AS files
 FROM (SELECT lower(regexp_extract(path, '[^/.][^/]*(\\.[^./]+)$', 1)) AS s FROM image_records) GROUP BY ALL""",
-        "path_component_order": "SELECT dataset_id, path, row_number() OVER (PARTITION BY dataset_id ORDER BY string_split(path, '/'), path)::INT AS place FROM (SELECT DISTINCT dataset_id, path FROM image_records)",
+        "path_component_order": "SELECT dataset_id, path, row_number() OVER (PARTITION BY dataset_id ORDER BY string_split(path, '/'), path) AS place FROM (SELECT DISTINCT dataset_id, path FROM image_records)",
         "unreadable_images": "SELECT dataset_id, path, record_id AS ord FROM image_records WHERE NOT coalesce(readable, false)",
         "unique_resolutions": f"SELECT dataset_id, width || 'x' || height AS resolution, count(*) AS images FROM image_records WHERE {_SIZED} GROUP BY ALL",
         "orientation_histogram": f"""SELECT dataset_id, CASE WHEN width = height THEN 'square' WHEN width > height THEN 'landscape' ELSE 'portrait' END AS orientation,

@@ -41,6 +41,7 @@ class Scratch:
         self.base = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
         path = self._path(self.base)
         self._fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._fs.mkdirs(path)  # only what exists can be marked for deletion
         self._fs.deleteOnExit(path)
 
     def _path(self, name: str):
