@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +31,8 @@ from viewlake.session import Scratch, spread
 NGRAM = 4
 #: Buckets of hashed n-grams; the whole of each fitted table, whatever the number of texts.
 BUCKETS = 1 << 17
+#: Bytes of text that a task works on at a time.
+PIECE = 2_000_000
 #: N-grams per window, about.
 WINDOW = 64
 #: Weight of the background in a class model, in n-grams.
@@ -294,7 +297,7 @@ def parsed(documents: DataFrame, ident: str, text: str) -> DataFrame:
     kind = documents.schema[ident].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches, 1):
             read = [parse(t) for t in batch.column(1).to_pylist()]
             lines = ["\n".join(("1" if content else "0") + s for s, content in segs) for segs, _ in read]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t for _, t in read], pa.bool_()), pa.array(lines, pa.string())], names=[ident, "template", "segments"])
@@ -302,6 +305,18 @@ def parsed(documents: DataFrame, ident: str, text: str) -> DataFrame:
     return spread(documents.select(ident, text)).mapInArrow(run, f"`{ident}` {kind}, template boolean, segments string")
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The batches cut by the size of their texts, so that memory follows PIECE and the longest text, not the rows of a batch."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64)
+        piece = (np.cumsum(size) - size) // PIECE
+        starts = np.flatnonzero(np.concatenate([[True], piece[1:] != piece[:-1]]))
+        for a, b in zip(starts, [*starts[1:], batch.num_rows]):
+            yield batch.slice(a, b - a)
+
+
 def _windows(lines: list[str]) -> Windows:
     return Windows([[(s[1:], s[0] == "1") for s in x.split("\n")] if x else [] for x in lines])
 
@@ -311,7 +326,7 @@ def _gram_counts(texts: DataFrame, ratios: np.ndarray | None, limit: float = RAT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((len(KINDS) + 1, BUCKETS), np.int64)
-        for batch in batches:
+        for batch in _pieces(batches, 0):
             windows = _windows(batch.column(0).to_pylist())
             if not len(windows.segment):
                 continue
@@ -364,7 +379,7 @@ def find_residue(documents: DataFrame, ident: str, text: str) -> DataFrame:
     kind = documents.schema[ident].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches, 2):
             template = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             _, filler, share = judge(_windows(batch.column(2).to_pylist()), ratios, RATIO, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(template), pa.array(filler), pa.array(share), pa.array(template | filler | (share >= COVERAGE))], names=[ident, "template", "filler", "notice_share", "residue"])
