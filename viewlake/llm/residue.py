@@ -138,6 +138,12 @@ def clean(text: str) -> str:
     return BLANKS.sub(" ", LINE_ENDS.sub("\n", text))
 
 
+def is_list(line: str) -> bool:
+    """Whether a line is a menu or a list of names: four or more short pieces."""
+    pieces = 1 + sum(map(line.count, SEPARATORS))
+    return pieces >= 4 and line.count(" ") + 1 <= 3.5 * pieces
+
+
 def paragraphs(text: str) -> list[str]:
     """Lines, with hard-wrapped ones joined: a line goes on if it doesn't end a sentence and the next begins in lower case (if the text has capitals at all)."""
     out: list[str] = []
@@ -146,7 +152,7 @@ def paragraphs(text: str) -> list[str]:
         line = line.strip()
         if not line:
             out.append("")
-        elif out and out[-1] and (OPEN.search(out[-1][-60:]) or cased and not ENDS.search(out[-1][-6:]) and (line[0].islower() or out[-1][-1] == ",") and len(out[-1]) > 12):
+        elif out and out[-1] and (OPEN.search(out[-1][-60:]) or cased and not ENDS.search(out[-1][-6:]) and (line[0].islower() or out[-1][-1] == ",") and len(out[-1]) > 12 and not is_list(out[-1])):
             out[-1] += " " + line
         else:
             out.append(line)
@@ -181,12 +187,7 @@ def segments(line: str) -> list[tuple[str, bool]]:
     bare = line.lstrip("#-*•>0123456789.) ")
     if not bare:
         return []
-    words = bare.count(" ") + 1
-    if words < 400:
-        pieces = 1 + sum(map(bare.count, SEPARATORS))
-        if pieces >= 4 and words <= 3.5 * pieces:
-            return [(DIGITS.sub("0", bare.lower()), False)]
-    if words <= 8 and not ENDS.search(bare[-6:]):
+    if is_list(bare) or bare.count(" ") < 8 and not ENDS.search(bare[-6:]):
         return [(DIGITS.sub("0", bare.lower()), False)]
     if QUOTES.search(bare):
         kept = QUOTED.sub(" ", bare)
