@@ -234,3 +234,34 @@ def test_jvm_decoder_agrees_on_size(spark, tmp_path):
     (tmp_path / "a.bmp").write_bytes(data)
     row = images.scan_with_jvm(spark, str(tmp_path)).first()
     assert (row["w"], row["h"]) == (2, 3) and bytes(row["data"][:3]) == bytes([0, 0, 255])
+
+
+def by_java(spark, path, gray, kind):
+    """A file of a gray pattern, written by the JVM."""
+    jvm, a = spark.sparkContext._jvm, np.asarray(gray, int)
+    image = jvm.java.awt.image.BufferedImage(a.shape[1], a.shape[0], 1)
+    for y, row in enumerate(a.tolist()):
+        for x, v in enumerate(row):
+            image.setRGB(x, y, v << 16 | v << 8 | v)
+    assert jvm.javax.imageio.ImageIO.write(image, kind, jvm.java.io.File(str(path)))
+
+
+def test_pixels_of_real_formats_are_measured(spark, tmp_path):
+    a = np.kron(patterns()[1], np.ones((4, 4)))
+    ppm(tmp_path / "a.ppm", a)
+    for name, kind in (("_b.png", "png"), ("c[1].bmp", "bmp"), ("d.tif", "tiff"), ("e.jpg", "jpg")):
+        by_java(spark, tmp_path / name, a, kind)
+    (tmp_path / "f.png").write_bytes((tmp_path / "_b.png").read_bytes()[:60])
+    (tmp_path / "g.webp").write_bytes(b"RIFF\0\0\0\0WEBPVP8X" + b"\0" * 8 + (29).to_bytes(3, "little") + (19).to_bytes(3, "little"))
+    report, records = audit(spark, str(tmp_path), AuditConfig(quality=True))
+    rows = {os.path.basename(r["path"]): r for r in records.collect()}
+    assert len(rows) == 7 and all(r["readable"] for r in rows.values())
+    for name in ("_b.png", "c[1].bmp", "d.tif"):
+        assert rows[name]["perceptual_hash"] == rows["a.ppm"]["perceptual_hash"] and rows[name]["quality_metrics"] == rows["a.ppm"]["quality_metrics"]
+    assert rows["e.jpg"]["perceptual_hash"] == rows["a.ppm"]["perceptual_hash"]
+    assert report["quality"]["analysed"] == 5 and report["duplicates"]["n_duplicates"] == 4
+    for name in ("f.png", "g.webp"):
+        assert rows[name]["quality_metrics"] is None and "not decoded" in rows[name]["notes"][0]
+    report, _ = audit(spark, str(tmp_path))
+    assert report["duplicates"]["n_duplicates"] == 4 and report["skipped_checks"]
+    assert not [p for p in tmp_path.iterdir() if p.name.startswith("links-")]

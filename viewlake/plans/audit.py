@@ -37,7 +37,7 @@ def audit(spark: SparkSession, path: str, config: AuditConfig = AuditConfig(), m
         skipped = ["metadata was not checked: a sparse model has none", "duplicates were not looked for: a sparse model has no files"]
         if config.quality:
             skipped.append("quality was not measured: a sparse model has no files")
-    elif config.quality:
-        rows = rated.where(F.col("quality_metrics").isNull()).orderBy("ord").select("path", "readable").limit(1000).collect()
+    else:
+        rows = rated.where(F.col("perceptual_hash").isNull()).orderBy("ord").select("path", "readable").limit(1000).collect()
         skipped = [f"{r['path']}: {'pixels were not decoded' if r['readable'] else 'unreadable'}" for r in rows]
     return report | {"metadata": loaded.metadata, "skipped_checks": skipped}, rated

@@ -127,3 +127,16 @@ def read_header(data: bytes) -> tuple[str, int, int, dict]:
     except (struct.error, IndexError, KeyError) as e:
         raise NotAnImage(f"damaged header: {e}") from e
     raise NotAnImage("unknown format")
+
+
+def is_deep_gray(data: bytes) -> bool:
+    """Whether a PNG or TIFF file has gray pixels of more than 8 bits, of which the JVM's decoder keeps the wrong ones."""
+    if data[:8] == b"\x89PNG\r\n\x1a\n":
+        return data[24:25] == b"\x10" and data[25:26] in (b"\0", b"\4")
+    if data[:4] in (b"II*\0", b"MM\0*"):
+        from viewlake.sources.exif import _directory, _first
+
+        order = "<" if data[:2] == b"II" else ">"
+        main = _directory(data, order, struct.unpack_from(f"{order}I", data, 4)[0])
+        return (_first(main.get(258)) or 1) > 8 and _first(main.get(262)) in (0, 1)
+    return False

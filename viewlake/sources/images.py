@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,8 +16,13 @@ from viewlake.config import IMAGE_SUFFIXES, AuditConfig
 from viewlake.functions import kernels
 from viewlake.functions.columns import quality_flags
 from viewlake.schema import IMAGE_RECORD
-from viewlake.sources.headers import NotAnImage, ppm_pixels, read_header
+from viewlake.session import Scratch, shared_dir
+from viewlake.sources.headers import NotAnImage, is_deep_gray, ppm_pixels, read_header
 
+#: Formats whose pixels the JVM decodes.
+JVM_FORMATS = ("PNG", "BMP", "TIFF", "JPEG")
+#: Decoded images that a Python worker gets at a time.
+IMAGES_AT_ONCE = 2
 METRICS = ["blur_score", "exposure_mean", "exposure_std", "clipped_ratio", "noise_score", "sky_reflective_ratio"]
 
 
@@ -38,12 +45,18 @@ def decode(data: bytes):
     return ppm_pixels(data)
 
 
+def _measured(bgr: np.ndarray) -> dict:
+    measures = {k: float(v[0]) for k, v in kernels.measures(bgr[None]).items()}
+    return {"perceptual_hash": f"{kernels.average_hash(bgr):016x}", "quality_metrics": measures | {"blur_type": "laplacian_variance"}}
+
+
 def scan(spark: SparkSession, paths: list[str], base: str, *, pixels: bool = True, partitions: int | None = None) -> DataFrame:
-    """Image records of the given files, one read per file.
+    """Image records of the given files.
 
     A file that can't be read becomes a row with readable false, size 0 and a note. Where
-    ``pixels`` is asked for and the format can be decoded, hash and measures are taken from
-    the same bytes. Paths must be visible to all executors.
+    ``pixels`` is asked for, hash and measures are taken from the pixels: of PPM from the
+    same bytes, of ``JVM_FORMATS`` in a second read, by the JVM. What stays undecoded has
+    a note. Paths must be visible to all executors.
     """
     n = partitions or max(1, min(len(paths), 4 * spark.sparkContext.defaultParallelism))
     rows = spark.createDataFrame(list(enumerate(paths)), "ord bigint, path string").repartition(n)
@@ -55,7 +68,7 @@ def scan(spark: SparkSession, paths: list[str], base: str, *, pixels: bool = Tru
             for order, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 folder = os.path.dirname(path)
                 parent = "." if folder == root else os.path.relpath(folder, root) if folder.startswith(root + "/") else os.path.basename(folder)
-                row = {"ord": order, "path": path, "width": 0, "height": 0, "readable": False, "source_exists": os.path.exists(path), "parent_relative": parent, "notes": []}
+                row = {"ord": order, "path": path, "width": 0, "height": 0, "readable": False, "source_exists": os.path.exists(path), "parent_relative": parent, "notes": [], "by_jvm": False}
                 try:
                     with open(path, "rb") as f:
                         data = f.read()
@@ -63,9 +76,12 @@ def scan(spark: SparkSession, paths: list[str], base: str, *, pixels: bool = Tru
                     row |= {"format": kind, "width": w, "height": h, "readable": True, "exif": exif or None}
                     if pixels:
                         try:
-                            bgr = decode(data)
-                            row["perceptual_hash"] = f"{kernels.average_hash(bgr):016x}"
-                            row["quality_metrics"] = {k: float(v[0]) for k, v in kernels.measures(bgr[None]).items()} | {"blur_type": "laplacian_variance"}
+                            if kind in JVM_FORMATS:
+                                if is_deep_gray(data):
+                                    raise NotAnImage("gray of more than 8 bits")
+                                row["by_jvm"] = True
+                            else:
+                                row |= _measured(decode(data))
                         except NotAnImage as e:
                             row["notes"].append(f"pixels were not decoded: {e}")
                 except (OSError, NotAnImage) as e:
@@ -74,9 +90,73 @@ def scan(spark: SparkSession, paths: list[str], base: str, *, pixels: bool = Tru
             yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
     from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import BooleanType, StructType
+
+    schema = StructType([*IMAGE_RECORD.fields]).add("by_jvm", BooleanType())
+    arrow = to_arrow_schema(schema)
+    records = rows.mapInArrow(run, schema)
+    if not pixels:
+        return records.drop("by_jvm")
+    scratch = Scratch(spark)
+    records = scratch.write(records, "headers")
+    left = {r["ord"]: r["path"] for r in records.where("by_jvm").select("ord", "path").toLocalIterator()}
+    if not left:
+        return records.drop("by_jvm")
+    measured = _measures_by_jvm(spark, scratch, left).select("ord", F.col("perceptual_hash").alias("_hash"), F.col("quality_metrics").alias("_metrics"))
+    out = records.join(measured, "ord", "left")
+    note = F.array(F.lit("pixels were not decoded: the JVM can't"))
+    return out.select(
+        *(
+            F.coalesce("perceptual_hash", "_hash").alias(c) if c == "perceptual_hash" else F.coalesce("quality_metrics", "_metrics").alias(c) if c == "quality_metrics"
+            else F.when(F.col("by_jvm") & F.col("_hash").isNull(), F.concat("notes", note)).otherwise(F.col("notes")).alias(c) if c == "notes" else F.col(c)
+            for c in IMAGE_RECORD.names
+        )
+    )
+
+
+def _measures_by_jvm(spark: SparkSession, scratch: Scratch, paths: dict[int, str]) -> DataFrame:
+    """(ord, perceptual_hash, quality_metrics) of the files that the JVM decodes.
+
+    Files are given to the reader as links named by their place, in the shared folder: so
+    names that it leaves out (_, .) or takes for patterns count, and rows find their records.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    schema = StructType([f for f in IMAGE_RECORD.fields if f.name in ("ord", "perceptual_hash", "quality_metrics")])
+    arrow = to_arrow_schema(schema)
+    shared = shared_dir(spark)
+    if "://" in shared and not shared.startswith("file://") or not shared.startswith(("file:", "/")):
+        return spark.createDataFrame([], schema)  # no folder for links
+    links = Path("/" + shared.removeprefix("file:").lstrip("/")) / f"links-{uuid.uuid4().hex}"
+    links.mkdir(parents=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for order, h, w, channels, data in zip(*(batch.column(i) for i in range(5))):
+                px = np.frombuffer(data.as_buffer(), np.uint8).reshape(h.as_py(), w.as_py(), channels.as_py())
+                bgr = np.repeat(px, 3, axis=2) if px.shape[2] == 1 else px[..., :3]  # without alpha
+                out.append({"ord": order.as_py()} | _measured(bgr))
+            yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
-    arrow = to_arrow_schema(IMAGE_RECORD)
-    return rows.mapInArrow(run, IMAGE_RECORD)
+    try:
+        for order, path in paths.items():
+            os.symlink(path, links / str(order))
+        decoded = scan_with_jvm(spark, f"file://{links}").where("w > 0 AND h > 0")
+        decoded = decoded.select(F.regexp_extract("path", r"(\d+)$", 1).cast("bigint").alias("ord"), "h", "w", "channels", "data")
+        # pixels are large: a batch of the usual number of rows wouldn't fit
+        setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = spark.conf.get(setting)
+        spark.conf.set(setting, IMAGES_AT_ONCE)
+        try:
+            return scratch.write(decoded.mapInArrow(run, schema), "measured")
+        finally:
+            spark.conf.set(setting, before)
+    finally:
+        for link in links.iterdir():
+            link.unlink()
+        links.rmdir()
 
 
 def with_quality(records: DataFrame, config: AuditConfig = AuditConfig()) -> DataFrame:
@@ -88,6 +168,6 @@ def with_quality(records: DataFrame, config: AuditConfig = AuditConfig()) -> Dat
 
 
 def scan_with_jvm(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, h, w, bgr) of PNG, BMP, TIFF and JPEG files, decoded by the JVM; undecodable files have w -1."""
-    rows = spark.read.format("image").option("dropInvalid", False).load(folder)
+    """(path, h, w, bgr) of PNG, BMP, TIFF and JPEG files, decoded by the JVM; undecodable files have w -1 or, if damaged, no row."""
+    rows = spark.read.format("image").option("dropInvalid", False).option("ignoreCorruptFiles", True).load(folder)
     return rows.select(F.col("image.origin").alias("path"), F.col("image.height").alias("h"), F.col("image.width").alias("w"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
