@@ -65,3 +65,23 @@ def test_missing_times_are_reasoned_from_values(spark):
 def test_empty_tables(spark):
     assert run(spark, [], []) == {}
     assert run(spark, [(1, "p", "")], []) == {}
+
+
+def test_an_undated_record_outranks_the_dated_one_before_it(spark):
+    # v1 < v2 < v3 by neighbours only; w1 < w2 < w3 < w1 is a cycle
+    past = []
+    for i, (a, b) in enumerate([("v1", "v2"), ("v2", "v3"), ("w1", "w2"), ("w2", "w3"), ("w3", "w1")]):
+        past += [(f"q{i}", 100 + 2 * i, T(1), 1, None, a, None, ""), (f"q{i}", 101 + 2 * i, T(2), 1, None, b, None, "")]
+
+    def camera(*mine):
+        g = spark.createDataFrame([(1, "m")], "grp bigint, path string")
+        df = spark.createDataFrame(past + [("m", i, t, 1, None, v, None, "") for i, t, v in mine], SCHEMA)
+        out = survivors(g, df, best=F.col("score"), fields={"camera": F.col("make").isNotNull()}, attributes=["make"], outranks=True)
+        return {r["field_name"]: r["record_id"] for r in out.collect()}["camera"]
+
+    assert camera((10, T(5), "v1"), (11, None, "v3")) == 11  # through v2, which the group lacks
+    assert camera((10, T(5), "v1"), (11, None, "v2"), (12, None, "v3")) == 12
+    assert camera((10, T(5), "v3"), (11, None, "v1")) == 10
+    assert camera((10, T(5), "v1"), (9, None, "v1")) == 10  # the same value: behind
+    assert camera((10, T(5), "v1"), (13, T(5), "v3"), (11, None, "v2")) == 10  # one of that time follows
+    assert camera((10, T(5), "w1"), (11, None, "w2")) == 10  # a cycle says nothing

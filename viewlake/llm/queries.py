@@ -65,7 +65,7 @@ def _survivors(spark: SparkSession, sf_dir: str, timestamp: str, records: DataFr
         "camera": F.coalesce(_has_text(F.col("exif.make")) & _has_text(F.col("exif.model")), F.lit(False)),
     }
     records = records.withColumn("camera_text", F.concat_ws("/", F.lower(F.btrim("exif.make")), F.lower(F.btrim("exif.model")))).withColumn("focal_text", focal)
-    out = survivors.survivors(groups, records, best=usable_score(F.col("quality_metrics.blur_score")), fields=fields, attributes=["camera_text", "focal_text"], timestamp=timestamp)
+    out = survivors.survivors(groups, records, best=usable_score(F.col("quality_metrics.blur_score")), fields=fields, attributes=["camera_text", "focal_text"], timestamp=timestamp, outranks=True)
     return out.select(F.col("grp").alias("cluster_id"), "field_name", "record_id")
 
 

@@ -3,9 +3,11 @@
 Recency is a currency order. Records with a timestamp are ordered by it. For records
 without one it is reasoned from values: from all timestamped rows the operator learns
 which value of an attribute is followed by which (per entity, in time), keeps the
-direction seen more often, and places an undated record after the latest dated record
-of its group whose value is the same or comes before its own; among undated records
-the value that is topologically later wins.
+direction seen more often and closes it transitively; values on a cycle count as the
+same. An undated record gets the time of the latest dated record of its group whose value
+is the same or comes before its own. With ``outranks`` it is more current than the dated
+ones of that time if a value strictly precedes its own and none follows it; else it is
+placed behind them. Among undated records the value with more values before it wins.
 """
 
 from __future__ import annotations
@@ -16,10 +18,6 @@ from pyspark.sql import functions as F
 from viewlake.operators.skew import Salter
 from viewlake.session import Scratch
 
-#: Steps to which topological levels are followed; cycles of majorities end here, too.
-LEVEL_STEPS = 16
-
-
 def blank(text: Column) -> Column:
     return text.isNull() | (F.btrim(text, F.lit(" \t")) == "")
 
@@ -48,29 +46,60 @@ def learn_precedence(rows: DataFrame, entity: str, timestamp: str, attributes: l
     return both.where(F.col("seen") > F.coalesce("reverse", F.lit(0))).select("attribute", "earlier", "later", "seen")
 
 
-def topological_levels(scratch: Scratch, precedence: DataFrame, steps: int = LEVEL_STEPS) -> DataFrame:
-    """(attribute, value, level): length of the longest chain of earlier values, followed for at most ``steps`` steps."""
-    level = precedence.select("attribute", F.col("later").alias("value")).distinct().withColumn("level", F.lit(1))
-    level = scratch.write(level, "level_1")
-    newest = level
-    for step in range(2, steps + 1):
-        up = newest.select("attribute", F.col("value").alias("earlier")).join(precedence, ["attribute", "earlier"])
-        newest = scratch.write(up.select("attribute", F.col("later").alias("value")).distinct().withColumn("level", F.lit(step)), f"level_{step}")
-        if newest.isEmpty():
+def value_order(scratch: Scratch, precedence: DataFrame, values: DataFrame) -> DataFrame:
+    """(attribute, value, other, side): how all other values stand to the given (attribute, value), by chains of precedence of any length.
+
+    side: ``before`` or ``later``, or ``same`` where chains lead both ways, so that both are on a cycle.
+    """
+    up = precedence.select("attribute", F.col("earlier").alias("at"), F.col("later").alias("other"), F.lit(True).alias("up"))
+    down = precedence.select("attribute", F.col("later").alias("at"), F.col("earlier").alias("other"), F.lit(False).alias("up"))
+    edges = scratch.write(up.unionByName(down), "edges")
+    newest = values.distinct().select("attribute", "value", F.col("value").alias("at"), F.explode(F.array(F.lit(True), F.lit(False))).alias("up"))
+    reached, step = None, 0
+    while True:
+        found = newest.join(edges, ["attribute", "at", "up"]).select("attribute", "value", "other", "up").where("other <> value").distinct()
+        found = found if reached is None else found.join(reached, ["attribute", "value", "other", "up"], "left_anti")
+        found = scratch.write(found, f"found_{step}")
+        if found.isEmpty():
             break
-        level = level.unionByName(newest)
-    return level.groupBy("attribute", "value").agg(F.max("level").alias("level"))
+        reached = found if reached is None else reached.unionByName(found)
+        newest = found.withColumnRenamed("other", "at")
+        step += 1
+        if step % 8 == 0:
+            reached = scratch.write(reached.coalesce(max(1, reached.rdd.getNumPartitions() // 8)), f"reached_{step}")
+    reached = found if reached is None else reached
+    sides = reached.groupBy("attribute", "value", "other").agg(F.min("up").alias("down_too"), F.max("up").alias("up"))
+    side = F.when(F.col("up") & ~F.col("down_too"), "same").when(F.col("up"), "later").otherwise("before")
+    return scratch.write(sides.select("attribute", "value", "other", side.alias("side")), "value_order")
+
+
+def _levels(order: DataFrame) -> DataFrame:
+    """(attribute, value, level): number of values strictly before; it grows along every chain."""
+    return order.where("side = 'before'").groupBy("attribute", "value").agg(F.count(F.lit(1)).cast("int").alias("level"))
+
+
+def topological_levels(scratch: Scratch, precedence: DataFrame) -> DataFrame:
+    """(attribute, value, level) of all values that others precede; on a cycle all have one level."""
+    return _levels(value_order(scratch, precedence, precedence.select("attribute", F.col("later").alias("value"))))
 
 
 def _place_undated(scratch: Scratch, undated: DataFrame, dated: DataFrame, precedence: DataFrame, attributes: list[str]) -> DataFrame:
-    """(grp, rid, cur, level) of undated candidates; dated: grp, ts and the attributes of the groups in question."""
-    u = _long(undated, ["grp", "rid"], attributes)
-    d = _long(dated, ["grp", "ts"], attributes).groupBy("grp", "attribute", "value").agg(F.max("ts").alias("ts"))
-    precedence = scratch.write(precedence, "precedence")
-    same = u.select("grp", "rid", "attribute", "value")
-    before = u.join(precedence.select("attribute", F.col("later").alias("value"), "earlier"), ["attribute", "value"]).select("grp", "rid", "attribute", F.col("earlier").alias("value"))
-    times = same.unionByName(before).join(d, ["grp", "attribute", "value"]).groupBy("grp", "rid").agg(F.max("ts").alias("cur"))
-    levels = u.join(topological_levels(scratch, precedence), ["attribute", "value"]).groupBy("grp", "rid").agg(F.sum("level").cast("int").alias("level"))
+    """(grp, rid, cur, after, level) of undated candidates; dated: grp, ts and the attributes of the groups in question.
+
+    after: whether a dated record of time cur has a value strictly before, and none of that time one strictly later.
+    """
+    u = scratch.write(_long(undated, ["grp", "rid"], attributes).distinct(), "undated_values")
+    d = scratch.write(_long(dated, ["grp", "ts"], attributes).distinct(), "dated_values")
+    order = value_order(scratch, scratch.write(precedence, "precedence"), u.select("attribute", "value"))
+    placed = u.join(order, ["attribute", "value"]).select("grp", "rid", "attribute", F.col("other").alias("value"), "side")
+    near = u.withColumn("side", F.lit("same")).unionByName(placed.where("side <> 'later'"))
+    last = d.groupBy("grp", "attribute", "value").agg(F.max("ts").alias("ts"))
+    times = near.join(last, ["grp", "attribute", "value"]).groupBy("grp", "rid").agg(F.max(F.struct("ts", (F.col("side") == "before").alias("after"))).alias("t"))
+    times = scratch.write(times.select("grp", "rid", F.col("t.ts").alias("cur"), F.col("t.after").alias("after")), "times")
+    follow = placed.where("side = 'later'").join(times.where("after").select("grp", "rid", F.col("cur").alias("ts")), ["grp", "rid"])
+    denied = follow.join(d, ["grp", "attribute", "value", "ts"]).select("grp", "rid").distinct().withColumn("denied", F.lit(True))
+    times = times.join(denied, ["grp", "rid"], "left").select("grp", "rid", "cur", (F.col("after") & F.col("denied").isNull()).alias("after"))
+    levels = u.join(_levels(order), ["attribute", "value"]).groupBy("grp", "rid").agg(F.sum("level").cast("int").alias("level"))
     return times.join(levels, ["grp", "rid"], "full")
 
 
@@ -83,6 +112,7 @@ def survivors(
     attributes: list[str],
     timestamp: str = "scanned_at",
     trust: str = "trust_rank",
+    outranks: bool = False,
     rows_per_salt: int = 200_000,
 ) -> DataFrame:
     """(grp, field_name, record_id): the surviving record (``keep``) and the source of each field.
@@ -107,14 +137,14 @@ def survivors(
     )
     mine = scratch.write(slim.join(named, "path", "left_semi"), "candidates")
 
-    def keys(cur: Column, dated: int, level: Column) -> list[Column]:
-        when = [cur.alias("cur"), F.lit(dated).alias("dated"), level.alias("level"), F.bitwise_not("rid").alias("back")]
+    def keys(cur: Column, place: Column, level: Column) -> list[Column]:
+        when = [cur.alias("cur"), place.alias("place"), level.alias("level"), F.bitwise_not("rid").alias("back")]
         out = [F.struct("best", "complete", *when).alias("keep")]
         return out + [F.when(F.col(f"has_{n}"), F.struct(F.bitwise_not("trust").alias("trust"), *when)).alias(n) for n in fields]
 
     names = ["keep", *fields]
     dated = mine.where(F.col("ts").isNotNull())
-    per_path = dated.select("path", *keys(F.col("ts"), 1, F.lit(0))).groupBy("path").agg(*(F.max(n).alias(n) for n in names))
+    per_path = dated.select("path", *keys(F.col("ts"), F.lit(1), F.lit(0))).groupBy("path").agg(*(F.max(n).alias(n) for n in names))
     salter = Salter(scratch, groups, ["path"], rows_per_salt, "paths")
     entries = salter.big(groups, ["grp"]).join(salter.other(per_path), salter.join_keys).select("grp", *names)
 
@@ -125,7 +155,8 @@ def survivors(
         around = dated.join(groups.join(touched, "grp", "left_semi"), "path").select("grp", "ts", *attributes)
         placed = _place_undated(scratch, undated, around, precedence, attributes)
         late = undated.join(placed, ["grp", "rid"], "left")
-        entries = entries.unionByName(late.select("grp", *keys(F.col("cur"), 0, F.coalesce("level", F.lit(0)))))
+        place = F.when(F.col("after"), 2).otherwise(0) if outranks else F.lit(0)
+        entries = entries.unionByName(late.select("grp", *keys(F.col("cur"), place, F.coalesce("level", F.lit(0)))))
     chosen = entries.groupBy("grp").agg(*(F.max(n).alias(n) for n in names))
     rows = F.array(*(F.struct(F.lit(n).alias("field_name"), F.bitwise_not(F.col(f"{n}.back")).alias("record_id")) for n in names))
     return chosen.select("grp", F.explode(rows).alias("r")).select("grp", "r.field_name", "r.record_id").where(F.col("record_id").isNotNull())
