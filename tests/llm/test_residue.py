@@ -87,3 +87,12 @@ def test_clean():
 def test_no_texts(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert R.find_residue(df, "doc_id", "text").count() == 0
+
+
+def test_filler_that_shares_nothing_with_the_seeds(spark):
+    rng = random.Random(3)
+    good = [prose(rng, 4) for _ in range(60)] + [prose(rng) + " The sheet said 'qwzu qwzu qwzu qwzu qwzu qwzu qwzu qwzu qwzu qwzu' in its last row, which we left.", "0 0 0 0 0 0 0 0 0 0 0 0 0 0 0 0 0 0 0 0.", "=" * 80 + "\n" + prose(rng), "It was very, very, very, very cold at the gate before dawn."]
+    bad = ["Qwzu " + "qwzu " * 20 + "qwzu.", prose(rng) + "\n\n" + "words " * 15 + "...\n\n" + prose(rng), "Xxxx xxxx xxxx xxxx xxxx xxxx xxxx xxxx xxxx."]
+    df = spark.createDataFrame(list(enumerate(good + bad)), "doc_id bigint, text string")
+    found = {r["doc_id"] for r in R.find_residue(df, "doc_id", "text").where("filler").collect()}
+    assert found == set(range(len(good), len(good) + len(bad)))

@@ -5,7 +5,7 @@ fitted in rounds. The first compares short seeds of each kind with the n-grams o
 texts; what it finds is counted as residue, the rest as prose, over all texts, and
 the next round compares these. Residue is localised by
 likelihood-ratio windows over the segments of a text: filler counts wherever a
-window of content is filler, error messages and script notices only when they cover the
+window of content is filler or, whatever its words are, only repeats itself; error messages and script notices only when they cover the
 content as a whole. Quotations are taken out first, and so are titles and menus.
 
 Template fields are marks such as ``{{name}}`` or ``[enter date]``: found by their form,
@@ -47,6 +47,10 @@ TEACHES = 0.45
 COVERAGE = 0.6
 #: Shortest filler that counts, in n-grams.
 FILLER_LENGTH = 10
+#: Share of distinct n-grams up to which a window of letters only repeats itself, and its least length in n-grams.
+REPEATED, REPEATED_LENGTH = 0.35, 24
+#: Least share of letters in such a window.
+REPEATED_LETTERS = 0.6
 
 KINDS = ("filler", "error", "script")
 
@@ -233,7 +237,7 @@ class Windows:
         flat = [(d, s, content) for d, segs in enumerate(texts) for s, content in segs]
         self.doc = np.array([d for d, _, _ in flat], np.int64)
         self.content = np.array([c for _, _, c in flat], bool)
-        joined = "".join(f" {s} " for _, s, _ in flat)
+        joined = self.joined = "".join(f" {s} " for _, s, _ in flat)
         lengths = np.array([len(s) + 2 for _, s, _ in flat], np.int64)
         self.grams = hashed(joined)
         starts = np.cumsum(lengths) - lengths
@@ -246,6 +250,21 @@ class Windows:
         self.end = starts[self.segment] + size_w * (k + 1) // n_w
         self.length = self.end - self.start
 
+    def repeated(self) -> np.ndarray:
+        """Whether each window only repeats itself: few distinct n-grams, mostly letters."""
+        out = np.zeros(len(self.start), bool)
+        at = np.flatnonzero(self.length >= REPEATED_LENGTH)
+        if not len(at):
+            return out
+        # shorter windows are filled up with their last n-gram, which adds no distinct one
+        grams = self.grams[np.minimum(self.start[at, None] + np.arange(WINDOW), self.end[at, None] - 1)].astype(np.int32)
+        grams.sort(axis=1)
+        distinct = 1 + (grams[:, 1:] != grams[:, :-1]).sum(axis=1)
+        for i in at[distinct <= REPEATED * self.length[at]]:
+            w = self.joined[self.start[i] : self.end[i] + NGRAM - 1]
+            out[i] = sum(map(str.isalpha, w)) >= REPEATED_LETTERS * len(w)
+        return out
+
     def means(self, ratios: np.ndarray) -> np.ndarray:
         """Mean log ratio per class and window."""
         out = np.zeros((len(ratios), len(self.start)))
@@ -263,7 +282,7 @@ def parse(text: str | None, fields: bool = True) -> tuple[list[tuple[str, bool]]
     return [s for line in lines for s in segments(line)], fields and any(has_template_field(line) for line in lines)
 
 
-def judge(windows: Windows, ratios: np.ndarray, limit: float, docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def judge(windows: Windows, ratios: np.ndarray, limit: float, docs: int, repeats: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per window its kind (-1 none); per text whether it has filler, and the share of its content that is error message or notice."""
     if not len(windows.segment):
         return np.empty(0, np.int64), np.zeros(docs, bool), np.zeros(docs)
@@ -273,6 +292,8 @@ def judge(windows: Windows, ratios: np.ndarray, limit: float, docs: int) -> tupl
     # what is not a sentence must be clearer
     least = np.where(kind == 0, FILLER_RATIO, limit) + np.where(content, 0.0, 0.5)
     kind = np.where((windows.length > 0) & (best > least), kind, -1)
+    if repeats:
+        kind[windows.repeated()] = 0
     filler = np.bincount(doc, (kind == 0) & (windows.length >= FILLER_LENGTH), docs) > 0
     # titles and menus count only where a text has nothing else, and then one clear message is enough
     size = np.where(content, windows.length, 0)
@@ -284,7 +305,7 @@ def judge(windows: Windows, ratios: np.ndarray, limit: float, docs: int) -> tupl
 
 def taught(windows: Windows, ratios: np.ndarray, limit: float, docs: int) -> np.ndarray:
     """What each window is counted as in the next round: texts largely covered by notices are notices, notices elsewhere are prose."""
-    kind, _, share = judge(windows, ratios, limit, docs)
+    kind, _, share = judge(windows, ratios, limit, docs, repeats=False)  # repeated words teach nothing about other filler
     if not len(kind):
         return kind
     doc = windows.doc[windows.segment]
