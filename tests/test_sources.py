@@ -265,3 +265,13 @@ def test_pixels_of_real_formats_are_measured(spark, tmp_path):
     report, _ = audit(spark, str(tmp_path))
     assert report["duplicates"]["n_duplicates"] == 4 and report["skipped_checks"]
     assert not [p for p in tmp_path.iterdir() if p.name.startswith("links-")]
+
+
+def test_all_skipped_images_are_listed(spark, tmp_path):
+    data = b"RIFF\0\0\0\0WEBPVP8X" + b"\0" * 8 + (29).to_bytes(3, "little") + (19).to_bytes(3, "little")
+    for i in range(1003):
+        (tmp_path / f"{i}.webp").write_bytes(data)
+    (tmp_path / "bad.png").write_text("no image")
+    report, _ = audit(spark, str(tmp_path), AuditConfig(quality=True))
+    assert report["skipped_counts"] == {"pixels were not decoded": 1003, "unreadable": 1} and len(report["skipped_checks"]) == 2
+    assert spark.read.parquet(report["tables"]["skipped"]).select("path").distinct().count() == 1004

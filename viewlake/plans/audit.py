@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from viewlake.config import AuditConfig
 from viewlake.functions.columns import parse_hash
 from viewlake.operators import duplicates
 from viewlake.plans.report import reports
-from viewlake.session import Scratch
+from viewlake.session import Scratch, shared_dir
 from viewlake.sources.detect import load
 from viewlake.sources.images import with_quality
 
@@ -29,15 +30,25 @@ def audit_records(records: DataFrame, config: AuditConfig, *, mode: str = "image
     return json.loads(out.first()["report"]), rated
 
 
+def skipped_images(records: DataFrame) -> DataFrame:
+    """(path, reason) of all images without measured pixels."""
+    readable = F.coalesce("readable", F.lit(False))
+    return records.where(F.col("perceptual_hash").isNull()).select("path", F.when(readable, "pixels were not decoded").otherwise("unreadable").alias("reason"))
+
+
 def audit(spark: SparkSession, path: str, config: AuditConfig = AuditConfig(), mode: str | None = None, generated_at: str | None = None, extractor=None) -> tuple[dict, DataFrame]:
     loaded = load(spark, path, mode, config, **({"extractor": extractor} if extractor else {}))
+    """(report, records). The images that were skipped are a table (path, reason), kept in the shared folder; the report names it and counts them per reason."""
     report, rated = audit_records(loaded.records, config, mode=loaded.mode, sparse_model=loaded.sparse_model, generated_at=generated_at, name=path)
-    skipped = []
+    skipped, counts, tables = [], {}, {}
     if loaded.sparse_model:
         skipped = ["metadata was not checked: a sparse model has none", "duplicates were not looked for: a sparse model has no files"]
         if config.quality:
             skipped.append("quality was not measured: a sparse model has no files")
     else:
-        rows = rated.where(F.col("perceptual_hash").isNull()).orderBy("ord").select("path", "readable").limit(1000).collect()
-        skipped = [f"{r['path']}: {'pixels were not decoded' if r['readable'] else 'unreadable'}" for r in rows]
-    return report | {"metadata": loaded.metadata, "skipped_checks": skipped}, rated
+        where = f"{shared_dir(spark)}/audit-{uuid.uuid4().hex}/skipped"
+        skipped_images(rated).write.parquet(where)
+        rows = spark.read.parquet(where).groupBy("reason").agg(F.count(F.lit(1)).alias("n")).orderBy("reason").collect()
+        counts, tables = {r["reason"]: r["n"] for r in rows}, {"skipped": where}
+        skipped = [f"{n} images: {reason}; listed in {where}" for reason, n in counts.items()]
+    return report | {"metadata": loaded.metadata, "skipped_checks": skipped, "skipped_counts": counts, "tables": tables}, rated
