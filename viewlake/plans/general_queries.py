@@ -34,7 +34,7 @@ def p2_neighbour_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_footprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per dataset: the valid positions inside the octagonal hull of its own positions, its own and others'."""
+    """Per dataset with trusted positions (trust_rank 1): the valid positions inside the octagonal hull of these, its own and others'."""
     records = table(spark, sf_dir, "image_records")
     points = _positions(spark, sf_dir)
     # records far off the rest of their set would stretch its hull: the hull is that of the trusted scans
