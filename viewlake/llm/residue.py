@@ -8,8 +8,11 @@ likelihood-ratio windows over the segments of a text: filler counts wherever a
 window of content is filler or, whatever its words are, only repeats itself; error messages and script notices only when they cover the
 content as a whole. Quotations are taken out first, and so are titles and menus.
 
-Template fields are marks such as ``{{name}}`` or ``[enter date]``: found by their form,
-and left alone where the sentence speaks about them (a manual, a code line).
+Template fields are marks such as ``{{name}}`` or ``[enter date]``. Their form only proposes
+them; two more models decide. One is of windows around marks in texts that explain, search or
+execute marks, the other of windows around marks that stand where natural prose has a value, helped by the
+model of prose. Both begin with seeds and learn from the clear windows of all texts. A mark
+counts as open unless its window is likelier under the first model, or it is inside a quotation.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ import html
 import re
 import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +34,10 @@ from viewlake.session import Scratch, spread
 
 NGRAM = 4
 #: Buckets of hashed n-grams; the whole of each fitted table, whatever the number of texts.
-BUCKETS = 1 << 17
+BITS = 17
+BUCKETS = 1 << BITS
+#: Odd multipliers of the characters of an n-gram.
+FACTORS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1, 0x5BD1E995)
 #: Bytes of text that a task works on at a time.
 PIECE = 2_000_000
 #: N-grams per window, about.
@@ -45,14 +52,31 @@ ALONE_RATIO = 2.0
 TEACHES = 0.45
 #: Share of the content that error messages and notices must cover.
 COVERAGE = 0.6
-#: Shortest filler that counts, in n-grams.
+#: Least filler of a text that counts, in n-grams.
 FILLER_LENGTH = 10
 #: Share of distinct n-grams up to which a window of letters only repeats itself, and its least length in n-grams.
-REPEATED, REPEATED_LENGTH = 0.35, 24
+REPEATED, REPEATED_LENGTH = 0.35, 18
 #: Least share of letters in such a window.
 REPEATED_LETTERS = 0.6
 
+#: Characters kept around the marks of a sentence; weight of the seeds (and, at most, of the texts) in their models, in n-grams.
+REACH, MARK_WEIGHT = 60, 4000.0
+#: Background in both models of marks, in n-grams, and share of prose in that of open fields.
+MARK_SMOOTHING, PROSE_SHARE = 2000.0, 0.5
+#: Largest log ratio of an n-gram; n-grams that hold a mark count double.
+MARK_CLIP = 3.0
+#: Summed log ratio beyond which a window teaches.
+MARK_TEACHES = 10.0
+#: Sizes of their n-grams; each has buckets of its own.
+MARK_NGRAMS = (NGRAM, 6)
+MARK_BUCKETS = BUCKETS * len(MARK_NGRAMS)
+#: Summed log ratio up to which a mark counts as open.
+MARK_RATIO = 2.0
+#: Stands for a mark.
+MARK = "\x00"
+
 KINDS = ("filler", "error", "script")
+MARK_KINDS = ("mention", "open")
 
 # Seeds of the first round.
 SEEDS = {
@@ -61,7 +85,7 @@ Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliqu
 Duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur.
 Excepteur sint occaecat cupidatat non proident, sunt in culpa qui officia deserunt mollit anim id est laborum.
 This is dummy text for the layout. Placeholder text, replace it with your own text. Your headline here. Your text goes here.
-Sample text sample text sample text. Test test test test. Text text text text. Content content content. Copy copy copy. Filler filler filler. Blah blah blah. asdf asdf jkl asdf. Add a description here. This is a default entry, edit or delete it.
+Sample text sample text sample text. Test test test test. Text text text text. Filler filler filler. Blah blah blah. asdf asdf jkl asdf. qwerty qwerty. Write a few words about yourself here. Tell your visitors about your business. Add a description here. This is a default entry, edit or delete it.
 Dies ist ein Blindtext. Blindtext Blindtext Blindtext. Hier steht später Ihr Text. Mustertext für das Layout, bitte ersetzen. Platzhaltertext.
 Ceci est un texte d'exemple. Faux texte pour la maquette, à remplacer. Votre titre ici. Paragraphe d'exemple.
 Este es un texto de relleno. Texto de ejemplo para la maqueta, cámbielo por el suyo. Su título aquí. Párrafo de ejemplo.
@@ -82,7 +106,48 @@ We're sorry but this app doesn't work properly without JavaScript enabled. Scrip
 Bitte aktivieren Sie JavaScript, um diese Seite zu sehen. Diese Ansicht benötigt Skripte. Bitte im Browser erlauben und neu laden. Ohne JavaScript kann die Seite nicht angezeigt werden.
 Veuillez activer JavaScript pour afficher cette page. Cette page a besoin de scripts. Autorisez-les dans le navigateur. Sans JavaScript, la page ne peut pas s'afficher.
 Active JavaScript para ver esta página. Esta página necesita scripts. Permítalos en el navegador y recargue. Sin JavaScript no se puede mostrar la página.
-このページを表示するにはJavaScriptを有効にしてください。スクリプトが無効になっています。ブラウザの設定でスクリプトを許可してください。""",
+このページを表示するにはJavaScriptを有効にしてください。スクリプトが無効になっています。スクリプトが無効なため、このページは表示できません。ブラウザの設定でスクリプトを許可してください。""",
+}
+
+# Seeds of the models of marks, each ¤ a mark; sentences end as in prose or at " ; ".
+MARK_SEEDS = {
+    "mention": r"""The tag ¤ inserts the name of the customer. Use ¤ in the text of the mail to insert the number. Put ¤ where the address should appear.
+The variable ¤ holds the name of the user. The placeholder ¤ stands for the title. The field ¤ is filled from the database when the mail is sent.
+¤ is replaced by the current date. Each ¤ will be replaced with the right value. ¤ becomes the number of the page. ¤ expands to the name of the file.
+Replace ¤ with your own user name. Change ¤ to the path of your folder before you run the command. Write ¤ in the header and the program inserts the value.
+Someone asked what ¤ means: it is a field of the mail program. What is ¤ for? The token ¤ tells the system where the signature goes.
+We searched the letters for ¤ and found three. A script checks every file for ¤ and reports it. The test fails if a page still contains ¤. The tool scans the documents for ¤.
+The syntax ¤ is supported, ¤ is not. The old form ¤ was dropped; write ¤ instead. Both ¤ and ¤ are allowed. Only ¤ is understood by the parser. Do not edit ¤ yourself, the build step sets it.
+The manual gives ¤ as an example of a merge field. The documentation describes ¤ and ¤. For example, ¤ prints the date. Such as ¤ in a template. Fields like ¤ are set by the editor.
+A literal ¤ has to be escaped with a backslash. The parser treats ¤ as plain text. The template engine reads ¤ as a variable. In the template, ¤ marks the place of the price. The name in ¤ must match the column.
+If the output still shows ¤, the variable was not defined. The bug left ¤ in the subject line. The log shows ¤ because the key was missing. He noticed that the poster said ¤ and had it printed again. The draft still had ¤ in it.
+Enter ¤ and press the button. Type ¤ into the box to see the result. Copy ¤ into the form. When you export, ¤ turns into the text. An expression like ¤ is evaluated later. The string ¤ is not translated.
+Die Variable ¤ steht für den Namen. Der Platzhalter ¤ wird beim Senden durch das Datum ersetzt. Ersetzen Sie ¤ durch Ihren Namen. Das Feld ¤ füllt das Programm aus. Schreiben Sie ¤ in die Vorlage. Mit ¤ fügt man die Anschrift ein. In der Anleitung ist ¤ ein Beispiel. Was bedeutet ¤? Der Ausdruck ¤ wird ausgewertet. Die Marke ¤ bleibt stehen, wenn der Wert fehlt. Die Schreibweise ¤ gilt noch. Wer ¤ eingibt, erhält den Wert.
+La variable ¤ contient le nom du client. Le champ ¤ est remplacé par la date. Remplacez ¤ par votre nom. La balise ¤ insère le titre. Écrivez ¤ dans le modèle à la place du prix. Que signifie ¤ ? Le mot ¤ sert d'exemple dans le manuel. L'expression ¤ sera évaluée à l'envoi. On met ¤ là où le texte doit apparaître. Le programme remplit ¤ avec la valeur.
+La variable ¤ contiene el nombre del cliente. El campo ¤ se sustituye por la fecha. Reemplace ¤ por su nombre. La etiqueta ¤ inserta el título. Escriba ¤ en la plantilla en lugar del precio. ¿Qué significa ¤? El manual pone ¤ como ejemplo. El programa cambia ¤ por el valor. Ponga ¤ donde deba ir el texto. La expresión ¤ se evalúa al enviar.
+変数¤には名前が入ります。¤は送信時に日付に置き換えられます。¤を自分の名前に置き換えてください。テンプレートの¤は差し込み欄です。¤と書くと値が表示されます。¤というタグを使います。¤の意味は何ですか。説明書では¤を例に挙げています。
+for x in ¤; do echo "¤"; done ; if [ -z "¤" ]; then exit 0; fi ; cp -r ¤ /tmp/backup && rm ¤ ; export PATH=¤:/usr/bin ; cat ¤ | grep -v "¤" > out.txt
+print("¤") ; value = config.get("¤") ; const url = `https://host/¤/items?id=¤`; return ¤; if (¤ == null) { ¤ } ; def name(self): return f"¤" ; SELECT ¤ FROM table WHERE id = ¤;
+run --input ¤ --output ¤ ; docker run -v ¤:/data image ; git clone ¤ ; ssh ¤@host ; curl -H "token: ¤" https://host/¤ ; sed 's/¤/0/g' file.txt ; console.log(¤); logger.warn("no value for ¤")
+0 info template ¤ rendered ; warn unresolved variable ¤ ; error: KeyError ¤ ; <a href="¤"> ; <img src="¤" alt="¤"> ; {"name": "¤", "id": "¤"} ; x = "¤" % y
+There are three kinds of variables: ¤, ¤ and ¤. The tokens ¤, ¤ and ¤ mean the same. Inside ¤ you can use a function. Words between the brackets, as in ¤, are names of columns.
+for file in ¤/*.txt; do cat "$file"; done ; mkdir -p ¤/out && tar -xf ¤.tar ; echo "Dear ¤" > mail.txt ; let text = `Dear ¤, you have ¤ mails`; ; const x = "¤" + y; ; docker build -t ¤:0 . ; pip install ¤ ; printf("Hello %s", ¤); ; System.out.println("Hello " + ¤); ; message = "Dear ¤" ; echo ¤ >> log.txt ; ls -la ¤ | wc -l ; mv ¤ ¤ && cd .. ; rm -rf ¤/* ; chmod 0 ¤ ; scp ¤ ¤:¤ ; make -C ¤ install ; assert f("¤") == "0" ; return `¤ ¤`.length; ; map.put("¤", ¤); ; list[¤] = ¤.get(0) ; var a = `¤`; ; throw new Error(`no ¤`); ; return ¤ + "0"; ; <p>Hello ¤</p> ; 0 error: could not read ¤ ; fatal: ¤ not set
+Why does ¤ stay empty? The editor shows ¤ in red. My colleague removed ¤ from the file. The system knows ¤ and ¤. With ¤ you get the link. The pattern ¤ matches every word. Leave ¤ as it is when you translate. If the value is missing, ¤ stays empty. This section shows how ¤ works. You will learn how to use ¤ in your own pages. Nothing happens to ¤ while you edit. The page said ¤ instead of the price. The software ignores ¤ if no file is given. ¤ appears twice in the source code. Is ¤ allowed in the title too? The latest version rejects ¤.
+Mit ¤ erhält man den Namen. Fehlt der Wert, bleibt ¤ leer. Im Brief stand ¤ statt des Namens. Hier lernen Sie, wie ¤ funktioniert. Das Programm ignoriert ¤ in Kommentaren. ¤ kommt im Code zweimal vor. Die neue Version versteht ¤ nicht mehr. Die Software kennt ¤ nicht. Le logiciel ne connaît pas ¤. Si la valeur manque, ¤ reste vide. Le script ignore ¤ quand il est seul. La lettre affichait ¤ au lieu du nom. On trouve ¤ deux fois dans le code. Avec ¤ on obtient le lien. El sistema no conoce ¤. Si falta el valor, ¤ queda vacío. El guion ignora ¤ cuando está solo. La carta mostraba ¤ en vez del nombre. Se encuentra ¤ dos veces en el código. Con ¤ se obtiene el enlace. 値がないと¤は空になります。文中の¤は自動で置換されます。コードに¤が二回出てきます。手紙に¤と表示されました。¤と入力すると変わります。""",
+    "open": """Dear ¤, Hello ¤, thank you for your order. Hi ¤! Dear Mr ¤, your booking for ¤ is complete. Kind regards, ¤ Welcome to ¤, ¤!
+Date: ¤ Name: ¤ Place: ¤ Total: ¤ Phone: ¤ Subject: ¤ Time: ¤ Number: ¤ Address: ¤ Notes: ¤ Remarks: ¤ Contact: ¤ Title: ¤ Weather: ¤, wind: ¤ # ¤ ¤ ¤
+We met at ¤ on ¤ and spoke about ¤. The meeting at ¤ starts at ¤. Invoice ¤ of ¤ is due on ¤. Please call ¤ or write to ¤ if you have questions. In total ¤ visitors came to ¤. Report for ¤, written by ¤ on ¤.
+This document was prepared by ¤ for ¤ and has ¤ pages. The house at ¤ has ¤ rooms. Your parcel left us on ¤ and will arrive at ¤. Next appointment: ¤ ¤ visited ¤ on ¤. We look forward to seeing you in ¤. The train from ¤ to ¤ was late.
+Sehr geehrter Herr ¤, Guten Tag ¤, Ihre Bestellung vom ¤ ist da. Datum: ¤ Name: ¤ Ort: ¤ Anzahl: ¤ Am ¤ waren wir in ¤. Mit freundlichen Grüßen ¤ Bericht für ¤ vom ¤. Nächster Termin: ¤ Bitte wenden Sie sich an ¤.
+Bonjour ¤, votre colis du ¤ est prêt. Date : ¤ Nom : ¤ Lieu : ¤ Nombre : ¤ Le ¤ nous étions à ¤. Cordialement, ¤ Rapport pour ¤ du ¤. Prochain rendez-vous : ¤ Merci de contacter ¤.
+Hola ¤, su paquete del ¤ está listo. Fecha: ¤ Nombre: ¤ Lugar: ¤ Cantidad: ¤ El ¤ estuvimos en ¤. Un saludo, ¤ Informe de ¤ del ¤. Próxima cita: ¤ Póngase en contacto con ¤.
+¤様、お世話になっております。日付:¤ 名前:¤ 場所:¤ 合計:¤ ¤に¤で会いました。¤の報告書 次回:¤ 担当:¤
+Your appointment with ¤ is on ¤ at ¤. The concert in ¤ was sold out. She joined us in ¤ and works as ¤. On ¤ the team from ¤ won by ¤ goals. When we arrived at ¤ it was raining. Thank you for choosing ¤. The shop in ¤ is open from ¤ to ¤. The doors close at ¤. Price: ¤ per night. Order no. ¤ Ref. ¤ Signed, ¤
+¤ has been a member since ¤. ¤ and ¤ live in ¤. ¤ wrote to us about ¤. With this letter we send you the keys of ¤. The road to ¤ is closed because of ¤. Congratulations on ¤! You have won ¤. The new owner of ¤ is ¤. He was born in ¤ on ¤. Age: ¤ years, weight: ¤ kg. Dear ¤, your order ¤ is on its way. Hello ¤, the car ¤ is ready for you. Flight ¤ is late. Hello ¤, room ¤ is free for you. Our office in ¤ was closed yesterday. Your number is ¤. My brother lives near ¤ and is a teacher. The branch in ¤ is closed on ¤. We enclose a copy of ¤ with this mail. It was a fine day and we walked to ¤. See you at ¤! This prize goes to ¤ for ¤. Mr ¤ is on holiday until ¤. I am writing to you about ¤. Please bring ¤ and be there by ¤.
+Die Firma ¤ aus ¤ liefert am ¤. Wir treffen uns um ¤ in ¤. Herzlich willkommen in ¤! Ihr Termin bei ¤ ist am ¤ um ¤ Uhr. Wir haben ¤ besucht und ¤ gesehen. Rechnung Nr. ¤ Preis: ¤ Euro. Liebe ¤, danke für deinen Brief aus ¤. Das Zimmer ¤ ist frei. Die Sitzung findet am ¤ im Rathaus statt. Vielen Dank für Ihren Besuch in ¤. Der Laden in ¤ ist zu. Ihre Nummer ist ¤. Unsere Filiale in ¤ hat heute offen. Mein Bruder wohnt in ¤.
+La société ¤ livre à ¤ le ¤. Bienvenue à ¤ ! Votre rendez-vous avec ¤ est le ¤ à ¤ heures. Nous avons visité ¤. Facture no ¤ Prix : ¤ euros. Chère ¤, merci pour ta lettre de ¤. La chambre ¤ est libre. La fête du ¤ se tiendra à ¤. Merci de votre visite à ¤. Votre numéro est le ¤. Mon frère habite à ¤. Madame ¤, Rendez-vous le ¤ à la gare de ¤. Le train pour ¤ part à ¤.
+La empresa ¤ entrega en ¤ el ¤. ¡Bienvenido a ¤! Su cita con ¤ es el ¤ a las ¤. Hemos visitado ¤. Factura no. ¤ Precio: ¤ euros. Querida ¤, gracias por tu carta de ¤. La habitación ¤ está libre. La fiesta del ¤ será en ¤. Gracias por su visita a ¤. Su número es el ¤. Mi hermano vive en ¤. Señora ¤, La cena es el ¤ en la plaza. El tren a ¤ sale a las ¤.
+¤さん、こんにちは。¤にご参加いただきありがとうございます。¤は¤で開催されます。ご注文番号:¤ 料金:¤円 人数:¤名 ¤へようこそ。¤時に¤へ行きました。¤の¤と申します。""",
 }
 
 # Cyrillic and Greek letters that look like Latin ones.
@@ -91,23 +156,15 @@ LOOKALIKES = str.maketrans("аеорсухіјѕԁАВЕКМНОРСТХІЅοΟ
 UNSEEN = re.compile("[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]")
 TAGS = re.compile(r"</?(?:p|div|br|li|ul|ol|b|i|em|strong|span|h[1-6]|a|pre|code|table|tr|td|th|body|html|section|article|blockquote|title|center|hr)(?:\s[^<>\n]{0,200})?/?>", re.I)
 
-#: Marks that are template syntax whatever is in them.
+#: Marks of template syntax, whatever is in them; like WEAK, these only propose.
 STRONG = re.compile(
     r"\{\{\{?[^{}\n]{1,80}\}?\}\}|\[\[[^\[\]\n]{1,80}\]\]|\$\{[^{}\n]{1,80}\}|\$\([A-Za-z][\w.\- ]{1,60}\)|<%[^<>%\n]{1,80}%>|\{%[^{}%\n]{1,80}%\}|\*\|[^|*\n]{1,60}\|\*"
     r"|\#\{[^{}\n]{1,60}\}|@\{[^{}\n]{1,60}\}|@@[^@\n]{1,60}@@|\#\#[^#\n]{1,60}\#\#|%[A-Za-z][\w.]{2,40}%|_{2,}\s?[^\W_][^_\n]{1,60}(?:_[^_\n]{1,40}){0,4}_{2,}"
     r"|\*{3,}[^*\n]{3,60}\*{3,}|\{\{\s{0,2}[\w.]{3,40}|<<[^<>\n]{2,60}>>"
 )
 #: Brackets that may be anything; their inside must read like a field.
-WEAK = re.compile(r"\[([^\[\]\n]{3,60})\](?!\()|<([^<>\n]{3,60})>|(?<![\w$@#{])\{([^{}\n]{3,60})\}|«([^«»\n]{3,60})»")
+WEAK = re.compile(r"\[([^\[\]\n]{3,60})\](?!\()|<([^<>\n]{3,60})>|(?<![\w$@#{])\{([^{}\n]{3,60})\}|«(?!\s)([^«»\n]{3,60})(?<!\s)»")
 FIELD = re.compile(r"\s{0,4}(?:TBD:?\s{0,4})?[^\W\d_][\w.’'\-]{1,40}(?:[ ,:\-]{1,4}[\w.’'\-]{1,40}){0,9}\s{0,4}", re.I)
-# Words of sentences that speak about marks, in five languages.
-ABOUT = re.compile(
-    r"\b(?:syntax|marks?\b(?!:)|placeholders?|explains?|explained|means|meant|stands? for|by hand|for instance|for example|fills? in the|exporter|is still read|searche[sd]|snippet|parser|binds|handbook|manual|guide|replace|variable|escaped|literal"
-    r"|handbuch|beispiel|platzhalter|ersetzt|bedeutet|steht für|anleitung|vorlage"
-    r"|exemple|signifie|remplacé|notice|réponses que"
-    r"|ejemplo|significa|plantilla|sustituye)\b|例え|例として|手引|説明書|置き換え|意味", re.I
-)
-CODE = re.compile(r"\bfor \w+ in\b|\bprint\(|\bSELECT\b.{1,80}\bFROM\b|\s--[a-z]+|;\s*do\b|\bdone\b|\w\(\)|\bimport \w+|\bdef \w+\(|^\s*\w+ = [\[{(]|\becho\b|\bgrep\b|=>|\bif \(|\breturn\b \w+;")
 QUOTED = re.compile(r"(?<![\w])'[^'\n]{10,400}?'(?![\w])|(?<![\w])'[^\n]{10,400}?[.!?\w]'(?=[\s,.;:)]|$)|\"[^\"\n]{10,400}\"|“[^”\n]{10,400}”|‘[^\n]{10,400}?’(?!\w)|„[^“”\n]{10,400}[“”]|「[^」\n]{5,300}」|« [^»\n]{6,300} »")
 QUOTES = re.compile("(?<!\\w)['\"“‘„「«]")
 ENDS = re.compile(r"[.!?。！？…:;]['\"”’»)\]]*$")
@@ -163,26 +220,29 @@ def paragraphs(text: str) -> list[str]:
     return [x for x in out if x]
 
 
-def has_template_field(line: str) -> bool:
-    """Whether a line holds a field that was never filled, other than in code, in a quotation or in a sentence about fields."""
+def marked(line: str) -> list[str]:
+    """The windows around marks of a line, one per sentence with marks outside of quotations, in lower case, each mark replaced by MARK."""
     if not MARK_STARTS.search(line):
-        return False
-    marks = [m.span() for m in STRONG.finditer(line)]
-    marks += [m.span() for m in WEAK.finditer(line) if FIELD.fullmatch(next(g for g in m.groups() if g is not None)) and not re.search(r"\d", m.group())]
-    if not marks or CODE.search(line):
-        return False
-    rest = list(line)
-    for a, b in marks:
-        rest[a:b] = "\x00" * (b - a)
-    rest = "".join(rest)
-    for sentence in SPLIT.split(rest):
-        if "\x00" in sentence and not ABOUT.search(sentence) and not any("\x00" in q.group() for q in QUOTED.finditer(sentence)):
-            return True
-    return False
+        return []
+    spans = [m.span() for m in STRONG.finditer(line)]
+    spans += [m.span() for m in WEAK.finditer(line) if FIELD.fullmatch(next(g for g in m.groups() if g is not None)) and not DIGITS.search(m.group())]
+    if not spans:
+        return []
+    parts, at = [], 0
+    for a, b in sorted(spans):
+        if a >= at:
+            parts += [line[at:a], MARK]
+            at = b
+    out = []
+    for sentence in SPLIT.split("".join([*parts, line[at:]])):
+        if MARK in sentence and not (QUOTES.search(sentence) and any(MARK in q.group() for q in QUOTED.finditer(sentence))):
+            a, b = sentence.index(MARK) - REACH, sentence.rindex(MARK) + REACH + 1
+            out.append(normal(sentence[max(a, 0) : b].strip()))
+    return out
 
 
 def segments(line: str) -> list[tuple[str, bool]]:
-    """(text in lower case, digits unified; whether it is content) of a line: its sentences, or itself if it is a title or a menu.
+    """(text; whether it is content) of a line: its sentences, or itself if it is a title or a menu.
 
     Quotations inside a longer sentence are left out, and quoted lines are no content of their own.
     """
@@ -192,26 +252,36 @@ def segments(line: str) -> list[tuple[str, bool]]:
     if not bare:
         return []
     if is_list(bare) or bare.count(" ") < 8 and not ENDS.search(bare[-6:]):
-        return [(DIGITS.sub("0", bare.lower()), False)]
+        return [(bare, False)]
     if QUOTES.search(bare):
         kept = QUOTED.sub(" ", bare)
         if len(kept) < len(bare) and sum(map(str.isalpha, kept)) >= 20:
             bare = kept
     split = SPLIT_ASCII if bare.isascii() else SPLIT
-    return [(s.strip(), True) for s in split.split(DIGITS.sub("0", bare.lower())) if s.strip()]
+    return [(s, True) for s in map(str.strip, split.split(bare)) if s]
+
+
+def normal(text: str) -> str:
+    """Lower case, numbers unified."""
+    return DIGITS.sub("0", text.lower())
 
 
-def hashed(text: str) -> np.ndarray:
+def codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+
+def hashed(text: str | np.ndarray, size: int = NGRAM) -> np.ndarray:
     """Bucket of each character n-gram of a text (n - 1 fewer than characters)."""
-    c = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
-    if len(c) < NGRAM:
+    c = codes(text) if isinstance(text, str) else text
+    n = len(c) - size + 1
+    if n <= 0:
         return np.empty(0, np.int64)
-    h = np.zeros(len(c) - NGRAM + 1, np.uint64)
-    for i in range(NGRAM):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + c[i : len(c) - NGRAM + 1 + i]
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    return (h >> np.uint64(40)).astype(np.int64) % BUCKETS
+    h = c[:n] * np.uint32(FACTORS[0])
+    for i in range(1, size):
+        h += c[i : n + i] * np.uint32(FACTORS[i])
+    h ^= h >> np.uint32(15)
+    h *= np.uint32(0x2C1B3C6D)
+    return (h >> np.uint32(32 - BITS)).astype(np.int64)
 
 
 def log_ratios(counts: np.ndarray, background: np.ndarray) -> np.ndarray:
@@ -225,11 +295,62 @@ def seed_counts() -> np.ndarray:
     out = np.zeros((len(KINDS), BUCKETS))
     for i, kind in enumerate(KINDS):
         for line in SEEDS[kind].split("\n"):
-            for text, _ in segments(line) or []:
-                np.add.at(out[i], hashed(f" {text} "), 1)
+            for text, _ in segments(line):
+                np.add.at(out[i], hashed(f" {normal(text)} "), 1)
+    return out
+
+
+def mark_seed_counts() -> np.ndarray:
+    out = np.zeros((len(MARK_KINDS), MARK_BUCKETS))
+    for i, kind in enumerate(MARK_KINDS):
+        sentences = [t.strip() for line in MARK_SEEDS[kind].split("\n") for part in line.split(" ; ") for t in SPLIT.split(part)]
+        seeds = Marked([[normal(t).replace("¤", MARK) for t in sentences]])
+        np.add.at(out[i], seeds.grams[seeds.weight > 0], 1)
     return out
 
 
+def mark_ratios(seeds: np.ndarray, taught: np.ndarray, prose: np.ndarray) -> np.ndarray:
+    """Per bucket, log of the probability where a text speaks about marks over that where a mark stands open. seeds, taught: counts by MARK_KINDS."""
+    q = np.zeros(MARK_BUCKETS)
+    q[:BUCKETS] = (prose + 0.5) / (prose.sum() + 0.5 * BUCKETS)
+    own = []
+    for seed, more in zip(seeds, taught):
+        n = min(more.sum(), MARK_WEIGHT)
+        own.append((MARK_WEIGHT * seed / seed.sum() + (n * more / more.sum() if n else 0.0)) / (MARK_WEIGHT + n))
+    mention, opened = own[0], (1 - PROSE_SHARE) * own[1] + PROSE_SHARE * q
+    least = MARK_SMOOTHING * q + 0.3
+    return np.log((MARK_WEIGHT * mention + least) / (MARK_WEIGHT * opened + least)).clip(-MARK_CLIP, MARK_CLIP).astype(np.float32)
+
+
+class Marked:
+    """Windows around marks of many texts, with their n-grams."""
+
+    def __init__(self, texts: list[list[str]]):
+        self.doc = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+        flat = [w for t in texts for w in t]
+        joined = codes("".join(f" {w} " for w in flat))
+        lengths = np.array([len(w) + 2 for w in flat], np.int64)
+        place, is_mark = np.repeat(np.arange(len(flat)), lengths), joined == ord(MARK)
+        grams, weights, owners = [], [], []
+        for i, size in enumerate(MARK_NGRAMS):
+            grams.append(hashed(joined, size) + i * BUCKETS)
+            n = len(grams[-1])
+            holds = np.logical_or.reduce([is_mark[k : n + k] for k in range(size)]) if n else np.zeros(0, bool)
+            # an n-gram that reaches over the end of its window belongs to none
+            weights.append(np.where(place[:n] == place[size - 1 :][:n], 1.0 + holds, 0.0))
+            owners.append(place[:n])
+        self.grams, self.weight, self.owner = np.concatenate(grams), np.concatenate(weights), np.concatenate(owners)
+
+    def scores(self, ratios: np.ndarray) -> np.ndarray:
+        """Summed log ratio of each window: the higher, the more the text speaks about its marks."""
+        return np.bincount(self.owner, ratios[self.grams] * self.weight, len(self.doc)) if len(self.grams) else np.zeros(len(self.doc))
+
+    def counts(self, ratios: np.ndarray) -> np.ndarray:
+        """n-grams of the clear windows, by MARK_KINDS."""
+        score = self.scores(ratios)[self.owner]
+        return np.stack([np.bincount(self.grams[clear & (self.weight > 0)], minlength=MARK_BUCKETS) for clear in (score > MARK_TEACHES, score < -MARK_TEACHES)])
+
+
 class Windows:
     """Segments of many texts, cut into windows, with their n-grams."""
 
@@ -250,6 +371,11 @@ class Windows:
         self.end = starts[self.segment] + size_w * (k + 1) // n_w
         self.length = self.end - self.start
 
+    def within(self) -> np.ndarray:
+        """The n-grams of all windows, one window after the other."""
+        before = np.cumsum(self.length) - self.length
+        return self.grams[np.arange(self.length.sum()) + np.repeat(self.start - before, self.length)]
+
     def repeated(self) -> np.ndarray:
         """Whether each window only repeats itself: few distinct n-grams, mostly letters."""
         out = np.zeros(len(self.start), bool)
@@ -274,12 +400,12 @@ class Windows:
         return out
 
 
-def parse(text: str | None, fields: bool = True) -> tuple[list[tuple[str, bool]], bool]:
-    """Segments of a text, and whether it has a template field (if asked)."""
+def parse(text: str | None) -> tuple[list[tuple[str, bool]], list[str]]:
+    """Segments of a text, and the windows around its marks."""
     if not text:
-        return [], False
+        return [], []
     lines = paragraphs(clean(text))
-    return [s for line in lines for s in segments(line)], fields and any(has_template_field(line) for line in lines)
+    return [s for line in lines for s in segments(line)], [w for line in lines for w in marked(line)]
 
 
 def judge(windows: Windows, ratios: np.ndarray, limit: float, docs: int, repeats: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -294,7 +420,7 @@ def judge(windows: Windows, ratios: np.ndarray, limit: float, docs: int, repeats
     kind = np.where((windows.length > 0) & (best > least), kind, -1)
     if repeats:
         kind[windows.repeated()] = 0
-    filler = np.bincount(doc, (kind == 0) & (windows.length >= FILLER_LENGTH), docs) > 0
+    filler = np.bincount(doc, np.where(kind == 0, windows.length, 0), docs) >= FILLER_LENGTH
     # titles and menus count only where a text has nothing else, and then one clear message is enough
     size = np.where(content, windows.length, 0)
     whole = np.bincount(doc, size, docs)
@@ -315,16 +441,16 @@ def taught(windows: Windows, ratios: np.ndarray, limit: float, docs: int) -> np.
 
 
 def parsed(documents: DataFrame, ident: str, text: str) -> DataFrame:
-    """(id, template, segments): each text read once; segments one per line, after 1 for content or 0."""
+    """(id, marks, segments): each text read once; windows around marks one per line; segments one per line, after + for content or -."""
     kind = documents.schema[ident].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _pieces(batches, 1):
             read = [parse(t) for t in batch.column(1).to_pylist()]
-            lines = ["\n".join(("1" if content else "0") + s for s, content in segs) for segs, _ in read]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t for _, t in read], pa.bool_()), pa.array(lines, pa.string())], names=[ident, "template", "segments"])
+            lines = [normal("\n".join(("+" if content else "-") + s for s, content in segs)) for segs, _ in read]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(["\n".join(m) for _, m in read], pa.string()), pa.array(lines, pa.string())], names=[ident, "marks", "segments"])
 
-    return spread(documents.select(ident, text)).mapInArrow(run, f"`{ident}` {kind}, template boolean, segments string")
+    return spread(documents.select(ident, text)).mapInArrow(run, f"`{ident}` {kind}, marks string, segments string")
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
@@ -340,52 +466,68 @@ def _pieces(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.Recor
 
 
 def _windows(lines: list[str]) -> Windows:
-    return Windows([[(s[1:], s[0] == "1") for s in x.split("\n")] if x else [] for x in lines])
+    return Windows([[(s[1:], s[0] == "+") for s in x.split("\n")] if x else [] for x in lines])
+
 
+def _marked(lines: list[str]) -> Marked:
+    return Marked([x.split("\n") if x else [] for x in lines])
 
-def _gram_counts(texts: DataFrame, ratios: np.ndarray | None, limit: float = RATIO) -> DataFrame:
-    """(kind, bucket, n) over all texts; without ratios everything is of kind -1."""
+
+@dataclass
+class Models:
+    """Fitted tables: log ratios of KINDS to prose, and of the two models of marks."""
+
+    kinds: np.ndarray
+    marks: np.ndarray
+
+
+def _gram_counts(texts: DataFrame, models: Models | None, limit: float = RATIO) -> DataFrame:
+    """(kind, bucket, n) over all texts: KINDS, then MARK_KINDS, then prose. Without models everything is prose."""
+    rows = len(KINDS) + len(MARK_KINDS) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((len(KINDS) + 1, BUCKETS), np.int64)
+        counts = np.zeros((rows, MARK_BUCKETS), np.int64)
         for batch in _pieces(batches, 0):
-            windows = _windows(batch.column(0).to_pylist())
-            if not len(windows.segment):
+            lines = batch.column(0).to_pylist()
+            if models is None:
+                # the sign before each segment is what separates it
+                counts[-1, :BUCKETS] += np.bincount(hashed(" ".join(x.replace("\n-", "  ").replace("\n+", "  ")[1:] for x in lines if x)), minlength=BUCKETS)
                 continue
-            if ratios is None:
-                counts[-1] += np.bincount(windows.grams, minlength=BUCKETS)
+            counts[len(KINDS) : -1] += _marked(batch.column(1).to_pylist()).counts(models.marks)
+            windows = _windows(lines)
+            if not len(windows.segment):
                 continue
-            kind = taught(windows, ratios, limit, batch.num_rows)
-            for k in range(-1, len(KINDS)):
-                chosen = np.flatnonzero(kind == k)
-                n = windows.length[chosen]
-                at = np.repeat(windows.start[chosen] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                counts[k] += np.bincount(windows.grams[at], minlength=BUCKETS)
+            kind = taught(windows, models.kinds, limit, batch.num_rows)
+            owner = np.repeat(kind, windows.length)
+            grams = windows.within()
+            for k in range(len(KINDS)):
+                counts[k, :BUCKETS] += np.bincount(grams[owner == k], minlength=BUCKETS)
+            counts[-1, :BUCKETS] += np.bincount(grams[owner < 0], minlength=BUCKETS)
         kinds, buckets = np.nonzero(counts)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.where(kinds == len(KINDS), -1, kinds).astype(np.int32)), pa.array(buckets.astype(np.int32)), pa.array(counts[kinds, buckets])], names=["kind", "bucket", "n"]
-        )
+        yield pa.RecordBatch.from_arrays([pa.array(kinds.astype(np.int32)), pa.array(buckets.astype(np.int32)), pa.array(counts[kinds, buckets])], names=["kind", "bucket", "n"])
 
-    rows = texts.select("segments").mapInArrow(run, "kind int, bucket int, n bigint")
-    return rows.groupBy("kind", "bucket").agg(F.sum("n").alias("n"))
+    found = texts.select("segments", "marks").mapInArrow(run, "kind int, bucket int, n bigint")
+    return found.groupBy("kind", "bucket").agg(F.sum("n").alias("n"))
 
 
 def _collect(counted: DataFrame) -> np.ndarray:
     """The fitted tables, of a size fixed by BUCKETS."""
     table = counted.toPandas()
-    out = np.zeros((len(KINDS) + 1, BUCKETS))
+    out = np.zeros((len(KINDS) + len(MARK_KINDS) + 1, MARK_BUCKETS))
     out[table["kind"].to_numpy(), table["bucket"].to_numpy()] = table["n"].to_numpy()
     return out
 
 
-def fit(texts: DataFrame, rounds: int = 3) -> np.ndarray:
-    """Log ratios of the last round, fitted on all texts (a table of ``parsed``)."""
-    seeds = seed_counts()
-    ratios = log_ratios(seeds, _collect(_gram_counts(texts, None))[-1])
+def fit(texts: DataFrame, rounds: int = 3) -> Models:
+    """Models of the last round, fitted on all texts (a table of ``parsed``)."""
+    k, seeds, marks = len(KINDS), seed_counts(), mark_seed_counts()
+    prose = _collect(_gram_counts(texts, None))[-1, :BUCKETS]
+    models = Models(log_ratios(seeds, prose), mark_ratios(marks, np.zeros_like(marks), prose))
     for i in range(1, rounds):
-        counts = _collect(_gram_counts(texts, ratios, RATIO if i > 1 else FIRST_RATIO))
-        ratios = log_ratios(counts[:-1] + seeds, counts[-1] + 1e-3 * seeds.sum(axis=0))
-    return ratios
+        counts = _collect(_gram_counts(texts, models, RATIO if i > 1 else FIRST_RATIO))
+        prose = counts[-1, :BUCKETS]
+        models = Models(log_ratios(counts[:k, :BUCKETS] + seeds, prose + 1e-3 * seeds.sum(axis=0)), mark_ratios(marks, counts[k:-1], prose))
+    return models
 
 
 def find_residue(documents: DataFrame, ident: str, text: str) -> DataFrame:
@@ -397,13 +539,14 @@ def find_residue(documents: DataFrame, ident: str, text: str) -> DataFrame:
     (residue if any of them has it). Whole texts are read.
     """
     texts = Scratch(documents.sparkSession).write(parsed(documents, ident, text), "parsed")
-    ratios = fit(texts)
+    models = fit(texts)
     kind = documents.schema[ident].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _pieces(batches, 2):
-            template = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            _, filler, share = judge(_windows(batch.column(2).to_pylist()), ratios, RATIO, batch.num_rows)
+            marks = _marked(batch.column(1).to_pylist())
+            template = np.bincount(marks.doc, marks.scores(models.marks) <= MARK_RATIO, batch.num_rows) > 0
+            _, filler, share = judge(_windows(batch.column(2).to_pylist()), models.kinds, RATIO, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(template), pa.array(filler), pa.array(share), pa.array(template | filler | (share >= COVERAGE))], names=[ident, "template", "filler", "notice_share", "residue"])
 
     rows = texts.mapInArrow(run, f"`{ident}` {kind}, template boolean, filler boolean, notice_share double, residue boolean")
