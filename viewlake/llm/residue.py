@@ -166,17 +166,14 @@ STRONG = re.compile(
 WEAK = re.compile(r"\[([^\[\]\n]{3,60})\](?!\()|<([^<>\n]{3,60})>|(?<![\w$@#{])\{([^{}\n]{3,60})\}|«(?!\s)([^«»\n]{3,60})(?<!\s)»")
 FIELD = re.compile(r"\s{0,4}(?:TBD:?\s{0,4})?[^\W\d_][\w.’'\-]{1,40}(?:[ ,:\-]{1,4}[\w.’'\-]{1,40}){0,9}\s{0,4}", re.I)
 QUOTED = re.compile(r"(?<![\w])'[^'\n]{10,400}?'(?![\w])|(?<![\w])'[^\n]{10,400}?[.!?\w]'(?=[\s,.;:)]|$)|\"[^\"\n]{10,400}\"|“[^”\n]{10,400}”|‘[^\n]{10,400}?’(?!\w)|„[^“”\n]{10,400}[“”]|「[^」\n]{5,300}」|« [^»\n]{6,300} »")
-QUOTES = re.compile("(?<!\\w)['\"“‘„「«]")
+QUOTES = re.compile("['\"“‘„「«](?<!\\w.)")
 ENDS = re.compile(r"[.!?。！？…:;]['\"”’»)\]]*$")
-SPLIT = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])")
-SPLIT_ASCII = re.compile(r"(?<=[.!?])\s+")
+ENDINGS = (". ", "! ", "? ", "。", "！", "？")
 MOJIBAKE = re.compile("[ÃÂã]")
 FOREIGN, LATIN = re.compile("[Ͱ-ӿԀ-ԯ]"), re.compile("[a-zA-Z]")
-LINE_ENDS = re.compile("\r\n?|[\v\f\x1c-\x1e\x85\u2028\u2029]")
 OPEN = re.compile(r"(?:\{[{%]|<%=?|\[\[|\$\{|<<|«|_{4})[^\]}>»_]{0,40}$")
 MARK_STARTS = re.compile(r"[{\[<%$@*«]|__|\#[{\#]")
 SEPARATORS = (",", ";", "、", " | ", " / ", " > ", " - ", " · ", " • ", " – ", " — ")
-BLANKS = re.compile(r" ?[^\S\n ][^\S\n]*| {2,}[^\S\n]*")
 DIGITS = re.compile(r"\d[\d.,:/\-]*")
 
 
@@ -196,7 +193,15 @@ def clean(text: str) -> str:
         text = unicodedata.normalize("NFKC", UNSEEN.sub("", text))
         if FOREIGN.search(text) and LATIN.search(text):
             text = text.translate(LOOKALIKES)
-    return BLANKS.sub(" ", LINE_ENDS.sub("\n", text))
+    return "\n".join([" ".join(line.split()) for line in text.splitlines()])
+
+
+def sentences(line: str) -> list[str]:
+    """Sentences of a line whose blanks are single ones."""
+    for end in ENDINGS:
+        if end in line:
+            line = line.replace(end, end[0] + "\n")
+    return line.split("\n")
 
 
 def is_list(line: str) -> bool:
@@ -234,7 +239,7 @@ def marked(line: str) -> list[str]:
             parts += [line[at:a], MARK]
             at = b
     out = []
-    for sentence in SPLIT.split("".join([*parts, line[at:]])):
+    for sentence in sentences("".join([*parts, line[at:]])):
         if MARK in sentence and not (QUOTES.search(sentence) and any(MARK in q.group() for q in QUOTED.finditer(sentence))):
             a, b = sentence.index(MARK) - REACH, sentence.rindex(MARK) + REACH + 1
             out.append(normal(sentence[max(a, 0) : b].strip()))
@@ -257,8 +262,7 @@ def segments(line: str) -> list[tuple[str, bool]]:
         kept = QUOTED.sub(" ", bare)
         if len(kept) < len(bare) and sum(map(str.isalpha, kept)) >= 20:
             bare = kept
-    split = SPLIT_ASCII if bare.isascii() else SPLIT
-    return [(s, True) for s in map(str.strip, split.split(bare)) if s]
+    return [(s, True) for s in map(str.strip, sentences(bare)) if s]
 
 
 def normal(text: str) -> str:
@@ -303,8 +307,8 @@ def seed_counts() -> np.ndarray:
 def mark_seed_counts() -> np.ndarray:
     out = np.zeros((len(MARK_KINDS), MARK_BUCKETS))
     for i, kind in enumerate(MARK_KINDS):
-        sentences = [t.strip() for line in MARK_SEEDS[kind].split("\n") for part in line.split(" ; ") for t in SPLIT.split(part)]
-        seeds = Marked([[normal(t).replace("¤", MARK) for t in sentences]])
+        texts = [t.strip() for line in MARK_SEEDS[kind].split("\n") for part in line.split(" ; ") for t in sentences(part)]
+        seeds = Marked([[normal(t).replace("¤", MARK) for t in texts]])
         np.add.at(out[i], seeds.grams[seeds.weight > 0], 1)
     return out
 
@@ -354,17 +358,21 @@ class Marked:
 class Windows:
     """Segments of many texts, cut into windows, with their n-grams."""
 
-    def __init__(self, texts: list[list[tuple[str, bool]]]):
-        flat = [(d, s, content) for d, segs in enumerate(texts) for s, content in segs]
-        self.doc = np.array([d for d, _, _ in flat], np.int64)
-        self.content = np.array([c for _, _, c in flat], bool)
-        joined = self.joined = "".join(f" {s} " for _, s, _ in flat)
-        lengths = np.array([len(s) + 2 for _, s, _ in flat], np.int64)
-        self.grams = hashed(joined)
-        starts = np.cumsum(lengths) - lengths
+    def __init__(self, lines: list[str]):
+        """lines: per text its segments, one per line, each after + for content or -; '' for none."""
+        self.doc = np.repeat(np.arange(len(lines)), [x.count("\n") + 1 if x else 0 for x in lines])
+        self.joined = "\n".join(x for x in lines if x) + "\n" if len(self.doc) else ""
+        chars = codes(self.joined).copy()
+        ends = np.flatnonzero(chars == ord("\n"))
+        starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
+        self.content = chars[starts] == ord("+")
+        # the sign before a segment and the end of its line become the blanks around it
+        chars[starts] = chars[ends] = ord(" ")
+        self.grams = hashed(chars)
+        lengths = ends + 1 - starts
         size = np.maximum(lengths - NGRAM + 1, 0)
         n = np.maximum(1, -(-size // WINDOW))
-        self.segment = np.repeat(np.arange(len(flat)), n)
+        self.segment = np.repeat(np.arange(len(ends)), n)
         k = np.arange(len(self.segment)) - np.repeat(np.cumsum(n) - n, n)
         size_w, n_w = size[self.segment], n[self.segment]
         self.start = starts[self.segment] + size_w * k // n_w
@@ -387,16 +395,17 @@ class Windows:
         grams.sort(axis=1)
         distinct = 1 + (grams[:, 1:] != grams[:, :-1]).sum(axis=1)
         for i in at[distinct <= REPEATED * self.length[at]]:
-            w = self.joined[self.start[i] : self.end[i] + NGRAM - 1]
+            w = self.joined[self.start[i] : self.end[i] + NGRAM - 1].strip("+-\n ")
             out[i] = sum(map(str.isalpha, w)) >= REPEATED_LETTERS * len(w)
         return out
 
     def means(self, ratios: np.ndarray) -> np.ndarray:
         """Mean log ratio per class and window."""
+        edges = np.stack([self.start, self.end], axis=1).ravel()
         out = np.zeros((len(ratios), len(self.start)))
         for i, r in enumerate(ratios):
-            total = np.concatenate([[0.0], np.cumsum(r[self.grams], dtype=np.float64)])
-            out[i] = (total[self.end] - total[self.start]) / np.maximum(self.length, 1)
+            total = np.add.reduceat(np.append(r[self.grams], np.float32(0)), edges)[::2]
+            out[i] = np.where(self.length > 0, total / np.maximum(self.length, 1), 0.0)
         return out
 
 
@@ -404,8 +413,9 @@ def parse(text: str | None) -> tuple[list[tuple[str, bool]], list[str]]:
     """Segments of a text, and the windows around its marks."""
     if not text:
         return [], []
-    lines = paragraphs(clean(text))
-    return [s for line in lines for s in segments(line)], [w for line in lines for w in marked(line)]
+    text = clean(text)
+    lines = paragraphs(text)
+    return [s for line in lines for s in segments(line)], [w for line in lines for w in marked(line)] if MARK_STARTS.search(text) else []
 
 
 def judge(windows: Windows, ratios: np.ndarray, limit: float, docs: int, repeats: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -465,10 +475,6 @@ def _pieces(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.Recor
             yield batch.slice(a, b - a)
 
 
-def _windows(lines: list[str]) -> Windows:
-    return Windows([[(s[1:], s[0] == "+") for s in x.split("\n")] if x else [] for x in lines])
-
-
 def _marked(lines: list[str]) -> Marked:
     return Marked([x.split("\n") if x else [] for x in lines])
 
@@ -490,19 +496,17 @@ def _gram_counts(texts: DataFrame, models: Models | None, limit: float = RATIO)
         for batch in _pieces(batches, 0):
             lines = batch.column(0).to_pylist()
             if models is None:
-                # the sign before each segment is what separates it
-                counts[-1, :BUCKETS] += np.bincount(hashed(" ".join(x.replace("\n-", "  ").replace("\n+", "  ")[1:] for x in lines if x)), minlength=BUCKETS)
+                counts[-1, :BUCKETS] += np.bincount(Windows(lines).grams, minlength=BUCKETS)
                 continue
             counts[len(KINDS) : -1] += _marked(batch.column(1).to_pylist()).counts(models.marks)
-            windows = _windows(lines)
+            windows = Windows(lines)
             if not len(windows.segment):
                 continue
             kind = taught(windows, models.kinds, limit, batch.num_rows)
-            owner = np.repeat(kind, windows.length)
-            grams = windows.within()
-            for k in range(len(KINDS)):
-                counts[k, :BUCKETS] += np.bincount(grams[owner == k], minlength=BUCKETS)
-            counts[-1, :BUCKETS] += np.bincount(grams[owner < 0], minlength=BUCKETS)
+            owner = np.repeat(np.where(kind < 0, len(KINDS), kind), windows.length)
+            found = np.bincount(owner * BUCKETS + windows.within(), minlength=(len(KINDS) + 1) * BUCKETS).reshape(-1, BUCKETS)
+            counts[: len(KINDS), :BUCKETS] += found[:-1]
+            counts[-1, :BUCKETS] += found[-1]
         kinds, buckets = np.nonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(kinds.astype(np.int32)), pa.array(buckets.astype(np.int32)), pa.array(counts[kinds, buckets])], names=["kind", "bucket", "n"])
 
@@ -546,7 +550,7 @@ def find_residue(documents: DataFrame, ident: str, text: str) -> DataFrame:
         for batch in _pieces(batches, 2):
             marks = _marked(batch.column(1).to_pylist())
             template = np.bincount(marks.doc, marks.scores(models.marks) <= MARK_RATIO, batch.num_rows) > 0
-            _, filler, share = judge(_windows(batch.column(2).to_pylist()), models.kinds, RATIO, batch.num_rows)
+            _, filler, share = judge(Windows(batch.column(2).to_pylist()), models.kinds, RATIO, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(template), pa.array(filler), pa.array(share), pa.array(template | filler | (share >= COVERAGE))], names=[ident, "template", "filler", "notice_share", "residue"])
 
     rows = texts.mapInArrow(run, f"`{ident}` {kind}, template boolean, filler boolean, notice_share double, residue boolean")
