@@ -148,22 +148,40 @@ def p7_unused(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- 8: mixtures
 
 
-def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    documents = table(spark, sf_dir, "documents")
-    language = F.when(F.col("lang").isNull() | F.lower("lang").isin("und", ""), "").otherwise(F.lower(F.substring("lang", 1, 2)))
-    rows = documents.select("doc_id", "text", "source", F.substring_index("source", "-", 1).alias("domain"), language.alias("language"))
+def language_code(lang: Column) -> Column:
+    """Two-letter language of a code in any letter case, with a region or of three letters; '' where it is unknown."""
+    code = F.lower(F.regexp_extract(lang, r"^\s*([A-Za-z]+)", 1))
+    # fixed values: other codes of the languages at hand
+    other = F.create_map(*(F.lit(x) for pair in (("eng", "en"), ("deu", "de"), ("ger", "de"), ("fra", "fr"), ("fre", "fr"), ("spa", "es"), ("jpn", "ja"), ("jp", "ja"), ("und", "")) for x in pair))
+    return F.coalesce(other[code], code, F.lit(""))
+
+
+def _mixed(spark: SparkSession, sf_dir: str, total: str) -> tuple[DataFrame, DataFrame]:
+    domain = F.substring_index("source", "-", 1).alias("domain")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", "source", domain, language_code(F.col("lang")).alias("language"))
+    targets = table(spark, sf_dir, "mix_targets").select("mix", "source", "weight", "max_repeats", domain)
     counted = tokens.with_token_counts(rows, "text")
-    return mixing.mix_sources(counted, table(spark, sf_dir, "mix_targets"), ident="doc_id", source="source", size="n_tokens", domain="domain", language="language")
+    return mixing.mix_sources(counted, targets, ident="doc_id", source="source", size="n_tokens", domain="domain", language="language", total=total)
 
 
 def p8_drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Drawn documents of each mix with their repeats."""
-    return _mixed(spark, sf_dir)[0].withColumnRenamed("size", "n_tokens")
+    """Drawn documents of each mix with their repeats, at the largest total at which all sources that are there keep their shares."""
+    return _mixed(spark, sf_dir, "feasible")[0].withColumnRenamed("size", "n_tokens")
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Target and actual share of each source in each mix."""
-    return _mixed(spark, sf_dir)[1]
+    """Target and actual share of each source in each mix, and the cause where they differ."""
+    return _mixed(spark, sf_dir, "feasible")[1]
+
+
+def p8_full_drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same at one time the size of all records of a mix's sources: small sources exhaust their repeats and others take over."""
+    return _mixed(spark, sf_dir, "all")[0].withColumnRenamed("size", "n_tokens")
+
+
+def p8_full_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual shares at that size."""
+    return _mixed(spark, sf_dir, "all")[1]
 
 
 # -- 9: residue
@@ -188,7 +206,7 @@ def p9_residue_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     found = (
         p1_daily_percentiles, p1_folder_percentiles, p3_found, p3_without_late_times, p4_found, p4_group_sizes, p5_found, p5_cutoffs,
-        p7_packed, p7_unused, p8_drawn, p8_shares, p9_found, p9_residue_kinds,
+        p7_packed, p7_unused, p8_full_drawn, p8_full_shares, p8_drawn, p8_shares, p9_found, p9_residue_kinds,
     )
     return {f.__name__: f for f in found}
 
