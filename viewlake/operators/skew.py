@@ -45,3 +45,11 @@ class Salter:
             return df.withColumn("_salt", F.lit(0))
         out = self._with_salts(df)
         return out.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
+
+
+def attach(scratch: Scratch, rows: DataFrame, small: DataFrame, keys: list[str], count: int, spread_by: list[str], rows_per_salt: int = 1_000_000) -> DataFrame:
+    """Inner join with a table of ``count`` rows, one per key: broadcast up to BROADCAST_ROWS, beyond it with the hot keys of ``rows`` salted."""
+    if count <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(small), keys)
+    salter = Salter(scratch, rows, keys, rows_per_salt, "_".join(keys))
+    return salter.big(rows, spread_by).join(salter.other(small), salter.join_keys).drop("_salt")
