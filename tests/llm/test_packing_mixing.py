@@ -104,8 +104,8 @@ def test_shares_are_met_at_the_feasible_total_and_causes_named(spark):
 @pytest.mark.parametrize("buckets", [1, 7, 4096])
 def test_mixture_meets_its_budgets(spark, monkeypatch, buckets, many):
     if many:  # no table is broadcast, and hot keys are salted
-        monkeypatch.setattr("viewlake.llm.mixing.BROADCAST_ROWS", 0)
-        monkeypatch.setattr("viewlake.llm.mixing.ROWS_PER_SALT", 50)
+        monkeypatch.setattr("viewlake.operators.skew.BROADCAST_ROWS", 0)
+        monkeypatch.setattr("viewlake.operators.skew.attach.__defaults__", (50,))
     rng = random.Random(9)
     items = [(i, rng.choice("aaabbc"), rng.randint(1, 40), "k", "en", "x") for i in range(600)] + [(5, "a", 1, "k", "en", "x"), (700, None, 5, "k", "en", "x"), (701, "a", None, "k", "en", "x"), (702, "unlisted", 9, "k", None, "x")]
     df = spark.createDataFrame(items, "doc_id bigint, source string, n bigint, domain string, language string, mix string")

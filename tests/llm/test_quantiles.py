@@ -38,6 +38,30 @@ def test_error_is_small():
     assert max(plus, minus) / len(values) < 0.002 and len(vals) < 12_000
 
 
+def test_buffer_size_keeps_the_error():
+    assert Q.buffer_size(0.01) == 1024 and Q.buffer_size(0.5, 100) == 16
+    values = np.random.default_rng(2).normal(size=100_000)
+    k = Q.buffer_size(0.002, len(values))
+    parts = [Q.compress(p, np.ones(len(p), np.int64), k, 0, 0) for p in np.array_split(values, 7)]
+    vals, wts = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+    *_, plus, minus = Q.compress(vals, wts, k, sum(p[2] for p in parts), sum(p[3] for p in parts))
+    assert max(plus, minus) <= 0.002 * len(values)
+
+
+@pytest.mark.parametrize("part_values", [40, 10_000])
+def test_hot_keys_are_merged_in_parts(spark, part_values):
+    """A key that holds most values, among keys of a few, gives the same counts and true bounds however it is merged."""
+    rng = np.random.default_rng(6)
+    rows = [("hot" if i % 10 else f"k{i % 70}", None, float(v), "x", 1) for i, v in enumerate(rng.normal(size=3000))]
+    df = table(spark, rows).repartition(9)
+    got = {r["folder"]: r for r in Q.percentiles(Q.merge(Q.sketch(df, ["folder"], "v", 16), ["folder"], 16, part_values=part_values), ["folder"], [500]).collect()}
+    for f, r in got.items():
+        own = np.array([v for g, _, v, _, _ in rows if g == f])
+        assert r["n"] == len(own)
+        assert abs((own <= r["p500"]).sum() - math.ceil(len(own) / 2)) <= r["rank_error"] * len(own) + 1e-9
+    assert len(got) == 8 and 0 < got["hot"]["rank_error"] < 0.25
+
+
 def table(spark, rows):
     return spark.createDataFrame(rows, "folder string, day date, v double, n string, vals int")
 
@@ -50,7 +74,7 @@ def test_percentiles_per_day_merge_into_longer_periods(spark, limit):
     df = table(spark, rows).repartition(5)
     keys = ["folder", "day"]
     days = Q.merge(Q.sketch(df, keys, "v", 32, limit), keys, 32, limit=limit)
-    whole = Q.percentiles(Q.merge(days, ["folder"], 32, fan_in=3, limit=limit), ["folder"], [0, 100, 500, 990, 1000]).collect()
+    whole = Q.percentiles(Q.merge(days, ["folder"], 32, limit=limit, part_values=150), ["folder"], [0, 100, 500, 990, 1000]).collect()
     assert {r["folder"] for r in whole} == {"a", "b", None, "tie"}  # nothing usable, no row
     for r in whole:
         own = np.sort([v for f, _, v, _, _ in rows if f == r["folder"] and v is not None and math.isfinite(v)])
@@ -69,9 +93,11 @@ def test_no_rows(spark):
     assert Q.percentiles(Q.merge(Q.sketch(empty, ["folder"], "v"), ["folder"]), ["folder"], [500]).count() == 0
 
 
-@pytest.mark.parametrize("k", [4, 1024])
-@pytest.mark.parametrize("bracket", [3, 2_000_000])
-def test_cutoffs_equal_brute_force(spark, k, bracket):
+@pytest.mark.parametrize("k, bracket, few", [(4, 3, True), (16, 3, False), (1024, 2_000_000, True)])
+def test_cutoffs_equal_brute_force(spark, monkeypatch, k, bracket, few):
+    if not few:
+        monkeypatch.setattr("viewlake.operators.skew.BROADCAST_ROWS", 0)
+        monkeypatch.setattr("viewlake.operators.skew.attach.__defaults__", (100,))
     rng = np.random.default_rng(k)
     rows = [("hot", i, float(np.round(rng.normal(50, 9), 1)), "x") for i in range(900)] + [("ties", 1000 + i, 5.0, "x") for i in range(50)]
     rows += [("few", 2000 + i, float(i), "x") for i in range(3)] + [("none", 3000, 1.0, "x"), ("over", 3001, 1.0, "x")]

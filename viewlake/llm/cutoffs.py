@@ -1,8 +1,9 @@
 """Score cutoffs that keep a target fraction per group: sketch-bracketed exact selection.
 
 A sketch with guaranteed rank bounds brackets the cutoff of each group. Scores above
-the bracket are only counted; only scores inside it are put in order. If the bracket
-of some group still holds too many rows, it is narrowed by a sketch of its own rows.
+the bracket and at its two ends are only counted; if that doesn't decide, the cutoff lies
+strictly inside, where only a small share of the records is, however many are tied at the ends. These alone are
+put in order. If some group has too many even there, a sketch of them is the next bracket.
 """
 
 from __future__ import annotations
@@ -11,10 +12,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from viewlake.llm.quantiles import BUFFER, merge, rank_bounds, sketch
-from viewlake.operators.skew import BROADCAST_ROWS
+from viewlake.operators.skew import attach
 from viewlake.session import Scratch
 
-#: Distinct scores of one group that one task may put in order.
+#: Records of one group that one task may put in order.
 BRACKET_ROWS = 2_000_000
 
 
@@ -27,48 +28,63 @@ def exact_cutoffs(scores: DataFrame, targets: DataFrame, group: str, score: str,
     ties at the cutoff are all kept. Above 1000 permille there is none (null, 0 kept).
     """
     scratch = scratch or Scratch(scores.sparkSession)
-    rows = scores.select(F.col(group).alias("g"), F.col(score).cast("double").alias("s"))
+    # the hash spreads the rows of a hot group; it is computed only where groups are too many to be broadcast
+    rows = scores.select(F.col(group).alias("g"), F.col(score).cast("double").alias("s"), F.xxhash64(*scores.columns).alias("h"))
     wanted = targets.where(F.col("keep_permille").isNotNull()).groupBy(F.col(group).alias("g")).agg(F.max("keep_permille").cast("long").alias("permille"))
-
-    whole = merge(sketch(rows, ["g"], "s", k), ["g"], k)
-    goal = whole.join(wanted, "g", "left").withColumn("permille", F.coalesce("permille", F.lit(default_permille).cast("long")))
-    goal = goal.withColumn("need", F.greatest(F.lit(1).cast("long"), F.expr("(permille * n + 999) div 1000")))
-    sketched = scratch.write(goal.withColumn("rank", F.col("n") - F.col("need") + 1), "sketch_0")
-    state = sketched.select("g", "n", "permille", "need").join(rank_bounds(sketched, ["g"], "rank"), "g")
-    state = scratch.write(state, "bracket_0")
-    few = state.count() <= BROADCAST_ROWS
-    narrow = 0
+    infinite = F.lit(float("inf"))
+    inside, state, groups, turn, before = rows, None, 0, 0, None
     while True:
-        joined = rows.join(F.broadcast(state) if few else state, "g")
-        tally = joined.groupBy("g").agg(
-            F.count(F.when(F.col("s") > F.col("hi"), 1)).alias("above"), F.count(F.when(F.col("s").between(F.col("lo"), F.col("hi")), 1)).alias("inside")
+        # one sketch of the records inside each bracket; the first brackets are unbounded
+        part = merge(sketch(inside.select("g", "s"), ["g"], "s", k), ["g"], k, scratch=scratch)
+        if state is None:
+            part = part.join(wanted, "g", "left").withColumn("permille", F.coalesce("permille", F.lit(default_permille).cast("long")))
+            part = part.withColumns({
+                "whole": F.col("n"), "need": F.greatest(F.lit(1).cast("long"), F.expr("(permille * n + 999) div 1000")), "above": F.lit(0).cast("long"), "lo": -infinite, "hi": infinite,
+            })
+        else:
+            part = part.join(state, "g")
+        goals = ["g", "whole", "permille", "need", "above"]
+        part = scratch.write(part.withColumn("rank", F.col("n") - F.col("need") + F.col("above") + 1), f"sketch_{turn}")
+        if not turn:
+            settled = part.where("need > n").select(*goals[:3], F.lit(None).cast("double").alias("cutoff"), F.lit(0).cast("long").alias("kept"))
+            part = part.where("need <= n")
+        bounds = rank_bounds(part, ["g"], "rank").withColumnsRenamed({"lo": "low", "hi": "high"})
+        state = scratch.write(part.select(*goals, "lo", "hi").join(bounds, "g"), f"bracket_{turn}")
+        groups = state.count()
+        within = attach(scratch, rows, state, ["g"], groups, ["h"]).where((F.col("s") > F.col("lo")) & (F.col("s") < F.col("hi")))
+        one = lambda c: F.count(F.when(c, 1))
+        tally = within.groupBy("g").agg(
+            one(F.col("s") > F.col("high")).alias("over"), one(F.col("s") == F.col("high")).alias("top"),
+            one((F.col("s") > F.col("low")) & (F.col("s") < F.col("high"))).alias("middle"), one((F.col("s") == F.col("low")) & (F.col("low") < F.col("high"))).alias("bottom"),
+        )
+        to_top = F.col("above") + F.col("over") + F.col("top")
+        to_middle = to_top + F.col("middle")
+        tally = scratch.write(state.join(tally, "g").withColumns({"to_top": to_top, "to_middle": to_middle}), f"tally_{turn}")
+        ends = tally.where("to_top >= need OR to_middle < need").select(
+            *goals[:3], F.when(F.col("to_top") >= F.col("need"), F.col("high")).otherwise(F.col("low")).alias("cutoff"),
+            F.when(F.col("to_top") >= F.col("need"), F.col("to_top")).otherwise(F.col("to_middle") + F.col("bottom")).alias("kept"),
         )
-        tally = scratch.write(state.join(tally, "g"), f"tally_{narrow}")
-        most = tally.where(F.col("lo") < F.col("hi")).agg(F.max("inside")).first()[0] or 0
-        if most <= bracket_rows or narrow == 8:
+        settled = settled.unionByName(ends)
+        left = tally.where("to_top < need AND to_middle >= need")
+        most = left.agg(F.max("middle")).first()[0] or 0
+        state = left.select(*goals[:4], F.col("to_top").alias("above"), F.col("low").alias("lo"), F.col("high").alias("hi"))
+        inside = attach(scratch, rows, state, ["g"], groups, ["h"]).where((F.col("s") > F.col("lo")) & (F.col("s") < F.col("hi")))
+        if most <= bracket_rows:
             break
-        again = rows.join(F.broadcast(state) if few else state, "g").where(F.col("s").between(F.col("lo"), F.col("hi")))
-        part = merge(sketch(again, ["g"], "s", k), ["g"], k).drop("n")
-        part = part.join(tally.select("g", "inside", (F.col("inside") - (F.col("need") - F.col("above")) + 1).alias("rank")), "g").withColumnRenamed("inside", "n")
-        narrow += 1
-        part = scratch.write(part, f"sketch_{narrow}")
-        new = rank_bounds(part, ["g"], "rank").withColumnsRenamed({"lo": "lo2", "hi": "hi2"})
-        merged = state.join(new, "g").withColumn("lo", F.greatest("lo", "lo2")).withColumn("hi", F.least("hi", "hi2")).drop("lo2", "hi2")
-        state = scratch.write(merged, f"bracket_{narrow}")
-    bracketed = rows.join(F.broadcast(tally) if few else tally, "g").where(F.col("s").between(F.col("lo"), F.col("hi")))
-    counted = bracketed.groupBy("g", "s", "n", "permille", "need", "above").agg(F.count(F.lit(1)).alias("c"))
+        if before is not None and most > before / 2:
+            k *= 2  # too coarse a sketch to get on
+        turn, before = turn + 1, most
+    counted = inside.groupBy("g", "s", "whole", "permille", "need", "above").agg(F.count(F.lit(1)).alias("c"))
     down = Window.partitionBy("g").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
     reached = counted.withColumn("kept", F.col("above") + F.sum("c").over(down)).where(F.col("kept") >= F.col("need"))
-    best = reached.groupBy("g").agg(F.max(F.struct("s", "kept")).alias("b"))
-    out = tally.select("g", "n", "permille").join(best, "g", "left")
-    return out.select(
-        F.col("g").alias(group), "n", F.col("permille").cast("int").alias("keep_permille"),
-        F.col("b.s").alias("cutoff"), F.coalesce("b.kept", F.lit(0)).alias("kept"),
-    )
+    best = reached.groupBy("g", "whole", "permille").agg(F.max(F.struct("s", "kept")).alias("b"))
+    out = settled.unionByName(best.select("g", "whole", "permille", F.col("b.s").alias("cutoff"), F.col("b.kept").alias("kept")))
+    return out.select(F.col("g").alias(group), F.col("whole").alias("n"), F.col("permille").cast("int").alias("keep_permille"), "cutoff", "kept")
 
 
 def keep_above(scores: DataFrame, cutoffs: DataFrame, group: str, score: str) -> DataFrame:
     """Rows of ``scores`` at or above the cutoff of their group."""
-    cut = cutoffs.select(group, "cutoff").where(F.col("cutoff").isNotNull())
-    few = cut.count() <= BROADCAST_ROWS
-    return scores.join(F.broadcast(cut) if few else cut, group).where(F.col(score) >= F.col("cutoff")).drop("cutoff")
+    scratch = Scratch(scores.sparkSession)
+    cut = scratch.write(cutoffs.select(group, "cutoff").where(F.col("cutoff").isNotNull()), "cutoffs")
+    joined = attach(scratch, scores, cut, [group], cut.count(), [c for c in scores.columns if c != group])
+    return joined.where(F.col(score) >= F.col("cutoff")).drop("cutoff")

@@ -17,15 +17,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from viewlake.operators.skew import BROADCAST_ROWS, Salter
+from viewlake.operators.skew import attach
 from viewlake.session import Scratch
 
 #: Leaves (source, domain, language) that the driver may hold, over all mixes; more are an error.
 MOST_LEAVES = 100_000
 #: Hash buckets per leaf; the bucket in which a budget ends is the only one put in order.
 BUCKETS = 4096
-#: Rows of a key that one task joins.
-ROWS_PER_SALT = 1_000_000
 #: Relative difference of budgets that counts as none, and of a drawn size from its budget that is told.
 SLACK, COARSE = 1e-9, 0.01
 
@@ -84,14 +82,6 @@ def order_key(seed: int, mix: Column, epoch: Column, ident: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), mix, epoch, ident), 2)
 
 
-def _attach(scratch: Scratch, rows: DataFrame, small: DataFrame, keys: list[str], count: int, spread_by: str) -> DataFrame:
-    """Inner join with a table of ``count`` rows, one per key: broadcast if it is small, else with hot keys salted."""
-    if count <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(small), keys)
-    salter = Salter(scratch, rows, keys, ROWS_PER_SALT, "_".join(keys))
-    return salter.big(rows, [spread_by]).join(salter.other(small), salter.join_keys).drop("_salt")
-
-
 def _cause(share: float, available: int, budget: float, whole: float) -> str:
     if share <= 0:
         return "no weight"
@@ -137,7 +127,7 @@ def mix_sources(
         F.col(ident).alias("id"), F.col(source).alias("source"), F.col(size).cast("long").alias("size"),
         F.coalesce(F.col(domain), F.lit("")).alias("domain"), F.coalesce(F.col(language), F.lit("")).alias("language"),
     )
-    base = _attach(scratch, base, names, ["source"], len(sources), "id")
+    base = attach(scratch, base, names, ["source"], len(sources), ["id"])
     one = base.groupBy("id").agg(F.max(F.struct("size", "source", "domain", "language")).alias("r")).select("id", "r.*")
     one = scratch.write(one, "items")
 
@@ -174,7 +164,7 @@ def mix_sources(
         told += [(mix, s, w / weights, available[s], b, _cause(w / weights, available[s], b, whole)) for s, (w, b) in shares.items()]
     leaf = spark.createDataFrame(plan, "leaf int, mix string, source string, domain string, language string, full int, part double")
 
-    rows = _attach(scratch, one, leaf, ["source", "domain", "language"], len(plan), "id")
+    rows = attach(scratch, one, leaf, ["source", "domain", "language"], len(plan), ["id"])
     rows = rows.withColumn("key", order_key(seed, F.col("mix"), F.col("full"), F.col("id")))
     rows = rows.withColumn("bucket", F.floor(F.col("key") / F.lit((1 << 62) / buckets)).cast("int"))
     filled = rows.groupBy("leaf", "part", "bucket").agg(F.sum("size").alias("size"))
@@ -183,7 +173,7 @@ def mix_sources(
     reached = filled.withColumn("upto", F.sum("size").over(along)).where(F.col("upto") > F.col("part"))
     ends = reached.groupBy("leaf").agg(F.min(F.struct("bucket", (F.col("upto") - F.col("size")).alias("before"))).alias("e"))
     ends = scratch.write(ends.select("leaf", F.col("e.bucket").alias("last"), F.col("e.before").alias("before")), "ends")
-    rows = _attach(scratch, rows, ends, ["leaf"], len(plan), "id")
+    rows = attach(scratch, rows, ends, ["leaf"], len(plan), ["id"])
     inside = F.col("bucket") == F.col("last")
     within = Window.partitionBy("leaf", "bucket").orderBy("key", "id").rowsBetween(Window.unboundedPreceding, -1)
     ending = rows.where(inside).withColumn("ahead", F.col("before") + F.coalesce(F.sum("size").over(within), F.lit(0)))

@@ -12,6 +12,9 @@ sketch. Sketches of days, partitions or runs are put together with ``merge``.
 
 from __future__ import annotations
 
+import functools
+import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,10 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from viewlake.operators.skew import BROADCAST_ROWS
+from viewlake.session import Scratch
+
 #: Values per buffer; the rank error is about 1/k of the rows per level of merging, at most.
 BUFFER = 1024
 #: Rows (leaf) or values (merge) a task holds before it works them off; the default of ``limit``.
 FLUSH = 1_000_000
+#: Values of one key that one task merges.
+PART_VALUES = 8_000_000
 
 SKETCH_FIELDS = [
     T.StructField("n", T.LongType()), T.StructField("err_plus", T.LongType()), T.StructField("err_minus", T.LongType()),
@@ -188,15 +196,43 @@ def sketch(df: DataFrame, keys: list[str], value: str, k: int = BUFFER, limit: i
     return rows.mapInArrow(_leaf(keys, value, k, limit), _schema(rows, keys, SKETCH_FIELDS))
 
 
-def merge(sketches: DataFrame, keys: list[str], k: int = BUFFER, fan_in: int = 0, limit: int = FLUSH) -> DataFrame:
-    """One sketch per key. With ``fan_in`` > 0, sketches of a key are first put together in that many parts, for keys spread over very many tasks."""
-    rows = sketches.select(*keys, *(f.name for f in SKETCH_FIELDS))
+def buffer_size(error: float, rows: float = 1e9) -> int:
+    """Values per buffer with which the rank error of up to ``rows`` values stays below ``error`` * rows.
+
+    A value is collapsed at most log2(rows / k) times, and each time adds 1/(2k) of the rows at most.
+    """
+    k = 16
+    while math.log2(max(rows / k, 2.0)) / (2 * k) > error:
+        k *= 2
+    return k
+
+
+def merge(sketches: DataFrame, keys: list[str], k: int = BUFFER, limit: int = FLUSH, part_values: int = PART_VALUES, scratch: Scratch | None = None) -> DataFrame:
+    """One sketch per key.
+
+    The values held for each key are counted first. Keys with more than ``part_values``
+    are merged in that many parts, again and again until what is left of them fits one task; all
+    others take part in the last merge only. A sketch holds fewer than 64 * k values, so each turn at least halves what is held.
+    """
+    part_values = max(part_values, 128 * k)
+    scratch = scratch or Scratch(sketches.sparkSession)
+    name, level = uuid.uuid4().hex, 0
+    rows = scratch.write(sketches.select(*keys, *(f.name for f in SKETCH_FIELDS)), f"partial_{name}")
     schema = _schema(rows, keys, SKETCH_FIELDS)
-    if fan_in:
-        part = rows.withColumn("_part", F.pmod(F.spark_partition_id(), F.lit(fan_in)))
-        part = part.repartition(*keys, "_part").sortWithinPartitions(*keys)
-        rows = part.select(*rows.columns).mapInArrow(_merge(keys, k, limit), schema)
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_merge(keys, k, limit), schema)
+    while True:
+        held = rows.groupBy(*keys).agg(F.sum(F.size("vals")).alias("_held")).where(F.col("_held") > part_values)
+        hot = held.select(*(F.col(c).alias(f"_{c}") for c in keys), F.ceil(F.col("_held") / F.lit(part_values)).cast("int").alias("_parts"))
+        hot = scratch.write(hot, f"hot_{name}_{level}")
+        n_hot = hot.count()
+        if not n_hot:
+            return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_merge(keys, k, limit), schema)
+        same = functools.reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys))
+        small = F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot
+        part = rows.join(small, same).withColumn("_part", F.pmod(F.xxhash64("n", "vals", "wts"), F.col("_parts").cast("long")))
+        part = part.repartition(*keys, "_part").sortWithinPartitions(*keys, "_part").select(*rows.columns, "_part")
+        done = part.mapInArrow(_merge([*keys, "_part"], k, limit), T.StructType([*schema.fields[: len(keys)], T.StructField("_part", T.LongType()), *SKETCH_FIELDS])).drop("_part")
+        level += 1
+        rows = scratch.write(rows.join(small, same, "left_anti").unionByName(done), f"partial_{name}_{level}")
 
 
 def _ordered(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

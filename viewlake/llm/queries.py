@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from viewlake.llm import cutoffs, grouping, mixing, packing, quantiles, residue, survivors, tokens
+from viewlake.operators.skew import BROADCAST_ROWS
 from viewlake.operators.spatial import valid_position
 from viewlake.session import Scratch, table
 
@@ -30,21 +31,47 @@ def _measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("parent_relative", day.alias("day"), F.explode(both).alias("m")).select("parent_relative", "day", "m.metric", "m.value")
 
 
+#: Bound asked of the rank error, and the values of a group up to which it holds.
+RANK_ERROR, MOST_VALUES = 0.01, 1e9
+#: Buffers of the rank check, small enough that most folders are collapsed.
+CHECK_BUFFER = 64
+
+
 def day_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One sketch per folder, day and metric, to be kept and merged later."""
-    keys = ["parent_relative", "day", "metric"]
-    return quantiles.merge(quantiles.sketch(_measures(spark, sf_dir), keys, "value"), keys)
+    keys, k = ["parent_relative", "day", "metric"], quantiles.buffer_size(RANK_ERROR, MOST_VALUES)
+    return quantiles.merge(quantiles.sketch(_measures(spark, sf_dir), keys, "value", k), keys, k)
+
+
+def p1_folder_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of blur_score (usable scores) and exposure_mean (finite values) per folder over all days, put together from the daily sketches."""
+    keys = ["parent_relative", "metric"]
+    return quantiles.percentiles(quantiles.merge(day_sketches(spark, sf_dir), keys, quantiles.buffer_size(RANK_ERROR, MOST_VALUES)), keys, PERMILLE)
 
 
 def p1_daily_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentiles of blur_score (usable scores) and exposure_mean (finite values) per folder and day."""
+    """The same per folder and day."""
     return quantiles.percentiles(day_sketches(spark, sf_dir), ["parent_relative", "day", "metric"], PERMILLE)
 
 
-def p1_folder_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same per folder over all days, put together from the daily sketches."""
+def p1_rank_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of each folder from buffers of 64 values, and whether the exact ranks of all are within the stated bound."""
     keys = ["parent_relative", "metric"]
-    return quantiles.percentiles(quantiles.merge(day_sketches(spark, sf_dir), keys), keys, PERMILLE)
+    values = _measures(spark, sf_dir).where(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < F.lit(float("inf")))).select(*keys, "value")
+    sketches = quantiles.merge(quantiles.sketch(values, keys, "value", CHECK_BUFFER), keys, CHECK_BUFFER)
+    found = Scratch(spark).write(quantiles.percentiles(sketches, keys, PERMILLE), "percentiles")
+    names = [f"p{q:03d}" for q in PERMILLE]
+    renamed = found.select(*(F.col(c).alias(f"_{c}") for c in keys), "n", "rank_error", *names)
+    same = F.col("parent_relative").eqNullSafe(F.col("_parent_relative")) & (F.col("metric") == F.col("_metric"))
+    few = found.count() <= BROADCAST_ROWS
+    ranks = values.join(F.broadcast(renamed) if few else renamed, same).groupBy(*keys, "n", "rank_error").agg(
+        *(F.count(F.when(F.col("value") < F.col(p), 1)).alias(f"below_{p}") for p in names), *(F.count(F.when(F.col("value") <= F.col(p), 1)).alias(f"upto_{p}") for p in names)
+    )
+    slack, within = F.round(F.col("rank_error") * F.col("n")), F.lit(True)
+    for q, p in zip(PERMILLE, names):
+        rank = F.ceil(F.col("n") * q / 1000)
+        within = within & (F.col(f"below_{p}") + 1 - slack <= rank) & (rank <= F.col(f"upto_{p}") + slack)
+    return ranks.select(*keys, "n", (F.col("rank_error") > 0).alias("collapsed"), within.alias("within"))
 
 
 # -- 3: survivors
@@ -205,7 +232,7 @@ def p9_residue_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     found = (
-        p1_daily_percentiles, p1_folder_percentiles, p3_found, p3_without_late_times, p4_found, p4_group_sizes, p5_found, p5_cutoffs,
+        p1_folder_percentiles, p1_daily_percentiles, p1_rank_check, p3_found, p3_without_late_times, p4_found, p4_group_sizes, p5_found, p5_cutoffs,
         p7_packed, p7_unused, p8_full_drawn, p8_full_shares, p8_drawn, p8_shares, p9_found, p9_residue_kinds,
     )
     return {f.__name__: f for f in found}
@@ -235,8 +262,22 @@ reach AS (SELECT x AS path, x AS other FROM both_ways UNION SELECT r.path, b.y F
 g AS (SELECT path, min(other) AS group_path FROM reach GROUP BY path)"""
 
 
+_MEASURES = f"""WITH v AS (SELECT parent_relative, scanned_at::DATE AS day, 'blur_score' AS metric, quality_metrics.blur_score AS value FROM image_records WHERE {_USABLE}
+  UNION ALL SELECT parent_relative, scanned_at::DATE, 'exposure_mean', quality_metrics.exposure_mean FROM image_records WHERE isfinite(quality_metrics.exposure_mean))"""
+
+
+def _ranked(keys: str) -> str:
+    """Exact percentiles: what the sketches give where no group has two buffers of values, as at the scale of the comparison."""
+    cols = ", ".join(f"max(value) FILTER (WHERE k = greatest(1, ceil({q} * n / 1000.0)::BIGINT)) AS p{q:03d}" for q in PERMILLE)
+    return _MEASURES + f""", r AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY value) AS k, count(*) OVER (PARTITION BY {keys}) AS n FROM v)
+SELECT {keys}, max(n) AS n, 0.0::DOUBLE AS rank_error, {cols} FROM r GROUP BY {keys}"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_folder_percentiles": _ranked("parent_relative, metric"),
+        "p1_daily_percentiles": _ranked("parent_relative, day, metric"),
+        "p1_rank_check": _MEASURES + f" SELECT parent_relative, metric, count(*) AS n, count(*) >= {2 * CHECK_BUFFER} AS collapsed, true AS within FROM v GROUP BY parent_relative, metric",
         "p3_found": f"""WITH named AS (SELECT DISTINCT cluster_id, p AS path FROM (SELECT cluster_id, list_append(members, representative) AS ps FROM duplicate_clusters) c, unnest(c.ps) AS u(p)),
 c AS (SELECT n.cluster_id, i.record_id, i.trust_rank, i.scanned_at,
     CASE WHEN {_USABLE} THEN quality_metrics.blur_score END AS score,
