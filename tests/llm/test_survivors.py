@@ -52,11 +52,12 @@ def test_missing_times_are_reasoned_from_values(spark):
     assert learned == {("v1", "v2"): 2, ("v2", "v3"): 1}  # the reverse was seen once
     levels = topological_levels(Scratch(spark), learn_precedence(df, "path", "scanned_at", ["make"]))
     assert {r["value"]: r["level"] for r in levels.collect()} == {"v2": 1, "v3": 2}
-    # 11 has v3, which comes after the v2 of record 10: dated like it, but behind a dated record at the same time
-    assert run(spark, [(1, "m", "")], past + mine)[1, "camera"] == 10
+    # 11 has v3, which comes after the v2 of record 10: its successor
+    assert run(spark, [(1, "m", "")], past + mine)[1, "camera"] == 11
     older = [r if r[1] != 10 else ("m", 10, T(3), 1, None, "v2", None, "") for r in mine]
-    # now the latest dated one is 13 (v1); 12 has the same value, 11 only comes after record 10
-    assert run(spark, [(1, "m", "")], past + older)[1, "camera"] == 13
+    # now the latest dated one is 13 (v1); 12 has the same value and stays behind it, 11 comes after both dated ones
+    assert run(spark, [(1, "m", "")], past + older)[1, "camera"] == 11
+    assert run(spark, [(1, "m", "")], past + [r for r in older if r[1] != 11])[1, "camera"] == 13
     # among undated ones that nothing dates, the topologically later value wins
     undated = [("m", 20, None, 1, None, "v2", None, ""), ("m", 21, None, 1, None, "v3", None, ""), ("m", 22, None, 1, None, "v9", None, "")]
     assert run(spark, [(1, "m", "")], past + undated)[1, "camera"] == 21
@@ -76,7 +77,7 @@ def test_an_undated_record_outranks_the_dated_one_before_it(spark):
     def camera(*mine):
         g = spark.createDataFrame([(1, "m")], "grp bigint, path string")
         df = spark.createDataFrame(past + [("m", i, t, 1, None, v, None, "") for i, t, v in mine], SCHEMA)
-        out = survivors(g, df, best=F.col("score"), fields={"camera": F.col("make").isNotNull()}, attributes=["make"], outranks=True)
+        out = survivors(g, df, best=F.col("score"), fields={"camera": F.col("make").isNotNull()}, attributes=["make"])
         return {r["field_name"]: r["record_id"] for r in out.collect()}["camera"]
 
     assert camera((10, T(5), "v1"), (11, None, "v3")) == 11  # through v2, which the group lacks

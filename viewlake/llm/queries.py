@@ -50,8 +50,8 @@ def p1_folder_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_daily_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same per folder and day."""
-    return quantiles.percentiles(day_sketches(spark, sf_dir), ["parent_relative", "day", "metric"], PERMILLE)
+    """The same per folder and day (written as text)."""
+    return quantiles.percentiles(day_sketches(spark, sf_dir), ["parent_relative", "day", "metric"], PERMILLE).withColumn("day", F.col("day").cast("string"))
 
 
 def p1_rank_check(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +92,7 @@ def _survivors(spark: SparkSession, sf_dir: str, timestamp: str, records: DataFr
         "camera": F.coalesce(_has_text(F.col("exif.make")) & _has_text(F.col("exif.model")), F.lit(False)),
     }
     records = records.withColumn("camera_text", F.concat_ws("/", F.lower(F.btrim("exif.make")), F.lower(F.btrim("exif.model")))).withColumn("focal_text", focal)
-    out = survivors.survivors(groups, records, best=usable_score(F.col("quality_metrics.blur_score")), fields=fields, attributes=["camera_text", "focal_text"], timestamp=timestamp, outranks=True)
+    out = survivors.survivors(groups, records, best=usable_score(F.col("quality_metrics.blur_score")), fields=fields, attributes=["camera_text", "focal_text"], timestamp=timestamp)
     return out.select(F.col("grp").alias("cluster_id"), "field_name", "record_id")
 
 
@@ -172,6 +172,20 @@ def p7_unused(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p7_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per kind of container: documents packed, and how many containers are overfull, texts split without need, texts with tokens lost or added."""
+    packed = Scratch(spark).write(_packed(spark, sf_dir), "packed")
+    overfull = packing.bins(packed).groupBy("container", "capacity").agg(F.count(F.when(F.col("unused") < 0, 1)).alias("overfull"))
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = tokens.with_token_counts(documents, "text").where("n_tokens > 0").withColumnRenamed("doc_id", "item")
+    whole = packed.groupBy("container", "capacity", "item").agg(F.sum("size").alias("placed"), F.count(F.lit(1)).alias("pieces")).join(counted, "item", "full")
+    texts = whole.groupBy("container", "capacity").agg(
+        F.count(F.lit(1)).alias("documents"), F.count(F.when(F.col("pieces") > F.ceil(F.col("n_tokens") / F.col("capacity")), 1)).alias("split_without_need"),
+        F.count(F.when(~F.col("placed").eqNullSafe(F.col("n_tokens")), 1)).alias("changed"),
+    )
+    return texts.join(overfull, ["container", "capacity"], "left").select("container", "capacity", "documents", "overfull", "split_without_need", "changed")
+
+
 # -- 8: mixtures
 
 
@@ -211,6 +225,22 @@ def p8_full_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixed(spark, sf_dir, "all")[1]
 
 
+def p8_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per mix, at the feasible total: targets, sources drawn that are none, documents drawn too often or twice, sources off their budget by more than single records."""
+    drawn, shares = _mixed(spark, sf_dir, "feasible")
+    targets = table(spark, sf_dir, "mix_targets").groupBy("mix", "source").agg(F.max("max_repeats").alias("most"))
+    rows = drawn.groupBy("mix", "source", "doc_id").agg(F.count(F.lit(1)).alias("rows"), F.sum("repeats").alias("repeats")).join(targets, ["mix", "source"], "left")
+    wrong = rows.groupBy("mix").agg(
+        F.count(F.when(F.col("most").isNull(), 1)).alias("strangers"), F.count(F.when((F.col("repeats") > F.col("most")) | (F.col("rows") > 1), 1)).alias("too_often"),
+    )
+    largest = drawn.groupBy("mix").agg(F.max("size").alias("largest"))
+    # a source has at most one leaf per language and unknown ones
+    off = shares.join(largest, "mix", "left").groupBy("mix").agg(
+        F.count(F.lit(1)).alias("targets"), F.count(F.when((F.col("available") > 0) & (F.abs(F.col("drawn_size") - F.col("budget")) > 6 * F.col("largest")), 1)).alias("off_budget"),
+    )
+    return off.join(wrong, "mix", "left").select("mix", "targets", "off_budget", "strangers", "too_often")
+
+
 # -- 9: residue
 
 
@@ -233,7 +263,7 @@ def p9_residue_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     found = (
         p1_folder_percentiles, p1_daily_percentiles, p1_rank_check, p3_found, p3_without_late_times, p4_found, p4_group_sizes, p5_found, p5_cutoffs,
-        p7_packed, p7_unused, p8_full_drawn, p8_full_shares, p8_drawn, p8_shares, p9_found, p9_residue_kinds,
+        p7_packed, p7_unused, p7_checks, p8_full_drawn, p8_full_shares, p8_drawn, p8_shares, p8_checks, p9_found, p9_residue_kinds,
     )
     return {f.__name__: f for f in found}
 
@@ -248,6 +278,46 @@ t AS (SELECT r.*, coalesce(k.keep_permille, 500) AS permille FROM r LEFT JOIN ke
 c AS (SELECT parent_relative, max(n) AS n, max(permille) AS keep_permille,
     max(score) FILTER (WHERE 1000 * at_least >= permille * n) AS cutoff FROM t GROUP BY parent_relative)"""
 
+_CANDIDATES = f"""WITH RECURSIVE i AS (SELECT record_id, path, {{ts}} AS ts, trust_rank, CASE WHEN {_USABLE} THEN quality_metrics.blur_score END AS score,
+    coalesce(trim(exif.make, E' \\t') <> '' AND trim(exif.model, E' \\t') <> '', false) AS has_camera,
+    coalesce(exif.focal_length_mm > 0 AND NOT isnan(exif.focal_length_mm), false) AS has_focal,
+    coalesce(exif.gps_latitude BETWEEN -90 AND 90 AND exif.gps_longitude BETWEEN -180 AND 180 AND NOT isnan(exif.gps_latitude) AND NOT isnan(exif.gps_longitude)
+      AND NOT (exif.gps_latitude = 0 AND exif.gps_longitude = 0), false) AS has_position,
+    concat_ws('/', lower(trim(exif.make)), lower(trim(exif.model))) AS camera_text, exif.focal_length_mm::VARCHAR AS focal_text FROM image_records),
+named AS (SELECT DISTINCT cluster_id, p AS path FROM (SELECT cluster_id, list_append(members, representative) AS ps FROM duplicate_clusters) x, unnest(x.ps) AS u(p)),
+c AS (SELECT n.cluster_id, i.* FROM named n JOIN i ON i.path = n.path)"""
+
+_REASONED = """,
+told AS (SELECT * FROM (SELECT path, record_id, ts, 'camera_text' AS attribute, camera_text AS value FROM i UNION ALL SELECT path, record_id, ts, 'focal_text', focal_text FROM i) WHERE trim(value, E' \\t') <> ''),
+spans AS (SELECT path, attribute, value, min(ts) AS f, max(ts) AS l FROM told WHERE ts IS NOT NULL AND path IS NOT NULL GROUP BY ALL),
+steps AS (SELECT attribute, lag(value) OVER w AS earlier, lag(l) OVER w AS prev, value AS later, f FROM spans WINDOW w AS (PARTITION BY path, attribute ORDER BY f, l, value)),
+seen AS (SELECT attribute, earlier, later, count(*) AS n FROM steps WHERE prev < f GROUP BY ALL),
+prec AS (SELECT s.attribute, s.earlier, s.later FROM seen s LEFT JOIN seen b ON b.attribute = s.attribute AND b.earlier = s.later AND b.later = s.earlier WHERE s.n > coalesce(b.n, 0)),
+up AS (SELECT attribute, earlier AS value, later AS other FROM prec UNION SELECT r.attribute, r.value, p.later FROM up r JOIN prec p ON p.attribute = r.attribute AND p.earlier = r.other),
+sides AS (SELECT attribute, value, other, bool_or(x) AS is_later, bool_or(NOT x) AS is_before FROM
+    (SELECT attribute, value, other, true AS x FROM up UNION ALL SELECT attribute, other, value, false FROM up) WHERE value <> other GROUP BY ALL),
+u AS (SELECT DISTINCT c.cluster_id, c.record_id, t.attribute, t.value FROM c JOIN told t ON t.record_id = c.record_id WHERE c.ts IS NULL),
+d AS (SELECT DISTINCT c.cluster_id, c.ts, t.attribute, t.value FROM c JOIN told t ON t.record_id = c.record_id WHERE c.ts IS NOT NULL),
+near AS (SELECT cluster_id, record_id, attribute, value AS other, false AS later_than FROM u
+  UNION ALL SELECT u.cluster_id, u.record_id, u.attribute, s.other, NOT s.is_later FROM u JOIN sides s ON s.attribute = u.attribute AND s.value = u.value WHERE s.is_before),
+met AS (SELECT n.cluster_id, n.record_id, d.ts, n.later_than FROM near n JOIN d ON d.cluster_id = n.cluster_id AND d.attribute = n.attribute AND d.value = n.other),
+times AS (SELECT cluster_id, record_id, max(ts) AS cur FROM met GROUP BY ALL),
+placed AS (SELECT t.cluster_id, t.record_id, t.cur,
+    EXISTS (SELECT 1 FROM met m WHERE m.cluster_id = t.cluster_id AND m.record_id = t.record_id AND m.ts = t.cur AND m.later_than)
+    AND NOT EXISTS (SELECT 1 FROM u JOIN sides s ON s.attribute = u.attribute AND s.value = u.value AND s.is_later AND NOT s.is_before
+      JOIN d ON d.cluster_id = u.cluster_id AND d.attribute = u.attribute AND d.value = s.other
+      WHERE u.cluster_id = t.cluster_id AND u.record_id = t.record_id AND d.ts = t.cur) AS after FROM times t),
+levels AS (SELECT u.cluster_id, u.record_id, count(*) AS level FROM u JOIN sides s ON s.attribute = u.attribute AND s.value = u.value AND s.is_before AND NOT s.is_later GROUP BY ALL),
+reasoned AS (SELECT c.*, coalesce(c.ts, p.cur) AS cur, CASE WHEN c.ts IS NOT NULL THEN 1 WHEN p.after THEN 2 ELSE 0 END AS place, CASE WHEN c.ts IS NOT NULL THEN 0 ELSE coalesce(l.level, 0) END AS level
+  FROM c LEFT JOIN placed p USING (cluster_id, record_id) LEFT JOIN levels l USING (cluster_id, record_id))"""
+
+_CHOSEN = """,
+fields AS (SELECT *, 'keep' AS field_name FROM {source} UNION ALL SELECT *, 'position' FROM {source} WHERE has_position UNION ALL SELECT *, 'focal' FROM {source} WHERE has_focal UNION ALL SELECT *, 'camera' FROM {source} WHERE has_camera),
+best AS (SELECT cluster_id, field_name, record_id, row_number() OVER (PARTITION BY cluster_id, field_name ORDER BY CASE WHEN field_name = 'keep' THEN score END DESC NULLS LAST,
+    CASE WHEN field_name = 'keep' THEN has_camera::INT + has_focal::INT + has_position::INT END DESC NULLS LAST, CASE WHEN field_name <> 'keep' THEN trust_rank END NULLS LAST,
+    cur DESC NULLS LAST, place DESC, level DESC, record_id) AS k FROM fields)
+SELECT cluster_id, field_name, record_id FROM best WHERE k = 1"""
+
 _LINKS = """WITH RECURSIVE h AS (SELECT path, max(CASE WHEN regexp_matches(x, '^[0-9a-f]{1,16}$') THEN ('0x' || x)::UBIGINT END) AS h FROM (
     SELECT path, regexp_replace(regexp_replace(lower(replace(replace(perceptual_hash, ' ', ''), chr(9), '')), '^0x', ''), '^0+(.)', '\\1') AS x FROM image_records)
   GROUP BY path),
@@ -262,8 +332,8 @@ reach AS (SELECT x AS path, x AS other FROM both_ways UNION SELECT r.path, b.y F
 g AS (SELECT path, min(other) AS group_path FROM reach GROUP BY path)"""
 
 
-_MEASURES = f"""WITH v AS (SELECT parent_relative, scanned_at::DATE AS day, 'blur_score' AS metric, quality_metrics.blur_score AS value FROM image_records WHERE {_USABLE}
-  UNION ALL SELECT parent_relative, scanned_at::DATE, 'exposure_mean', quality_metrics.exposure_mean FROM image_records WHERE isfinite(quality_metrics.exposure_mean))"""
+_MEASURES = f"""WITH v AS (SELECT parent_relative, strftime(scanned_at, '%Y-%m-%d') AS day, 'blur_score' AS metric, quality_metrics.blur_score AS value FROM image_records WHERE {_USABLE}
+  UNION ALL SELECT parent_relative, strftime(scanned_at, '%Y-%m-%d'), 'exposure_mean', quality_metrics.exposure_mean FROM image_records WHERE isfinite(quality_metrics.exposure_mean))"""
 
 
 def _ranked(keys: str) -> str:
@@ -278,21 +348,10 @@ def oracle_sql() -> dict[str, str]:
         "p1_folder_percentiles": _ranked("parent_relative, metric"),
         "p1_daily_percentiles": _ranked("parent_relative, day, metric"),
         "p1_rank_check": _MEASURES + f" SELECT parent_relative, metric, count(*) AS n, count(*) >= {2 * CHECK_BUFFER} AS collapsed, true AS within FROM v GROUP BY parent_relative, metric",
-        "p3_found": f"""WITH named AS (SELECT DISTINCT cluster_id, p AS path FROM (SELECT cluster_id, list_append(members, representative) AS ps FROM duplicate_clusters) c, unnest(c.ps) AS u(p)),
-c AS (SELECT n.cluster_id, i.record_id, i.trust_rank, i.scanned_at,
-    CASE WHEN {_USABLE} THEN quality_metrics.blur_score END AS score,
-    coalesce(trim(exif.make, E' \\t') <> '' AND trim(exif.model, E' \\t') <> '', false) AS has_camera,
-    coalesce(exif.focal_length_mm > 0 AND NOT isnan(exif.focal_length_mm), false) AS has_focal,
-    coalesce(exif.gps_latitude BETWEEN -90 AND 90 AND exif.gps_longitude BETWEEN -180 AND 180 AND NOT isnan(exif.gps_latitude) AND NOT isnan(exif.gps_longitude)
-      AND NOT (exif.gps_latitude = 0 AND exif.gps_longitude = 0), false) AS has_position
-  FROM named n JOIN image_records i ON i.path = n.path),
-keep AS (SELECT cluster_id, 'keep' AS field_name, record_id, row_number() OVER (PARTITION BY cluster_id
-    ORDER BY score DESC NULLS LAST, has_camera::INT + has_focal::INT + has_position::INT DESC, scanned_at DESC, record_id) AS k FROM c),
-f AS (SELECT cluster_id, 'position' AS field_name, record_id, trust_rank, scanned_at FROM c WHERE has_position
-  UNION ALL SELECT cluster_id, 'focal', record_id, trust_rank, scanned_at FROM c WHERE has_focal
-  UNION ALL SELECT cluster_id, 'camera', record_id, trust_rank, scanned_at FROM c WHERE has_camera),
-best AS (SELECT cluster_id, field_name, record_id, row_number() OVER (PARTITION BY cluster_id, field_name ORDER BY trust_rank, scanned_at DESC, record_id) AS k FROM f)
-SELECT cluster_id, field_name, record_id FROM keep WHERE k = 1 UNION ALL SELECT cluster_id, field_name, record_id FROM best WHERE k = 1""",
+        "p3_found": _CANDIDATES.format(ts="scanned_at") + _CHOSEN.format(source="(SELECT *, ts AS cur, 1 AS place, 0 AS level FROM c)"),
+        "p3_without_late_times": _CANDIDATES.format(ts="CASE WHEN delivered_at <= scanned_at + INTERVAL 1 DAY THEN scanned_at END") + _REASONED + _CHOSEN.format(source="reasoned"),
+        "p7_checks": "SELECT container, capacity_tokens::BIGINT AS capacity, (SELECT count(DISTINCT doc_id) FROM documents WHERE text <> '') AS documents, 0 AS overfull, 0 AS split_without_need, 0 AS changed FROM pack_targets",
+        "p8_checks": "SELECT mix, count(DISTINCT source) AS targets, 0 AS off_budget, 0 AS strangers, 0 AS too_often FROM mix_targets GROUP BY mix",
         "p4_found": _LINKS + " SELECT path, group_path FROM g",
         "p4_group_sizes": _LINKS + " SELECT paths, count(*) AS n_groups FROM (SELECT group_path, count(*) AS paths FROM g GROUP BY group_path) GROUP BY paths",
         "p5_found": _CUT + " SELECT t.parent_relative, t.record_id FROM t JOIN c USING (parent_relative) WHERE t.score >= c.cutoff",

@@ -5,7 +5,7 @@ without one it is reasoned from values: from all timestamped rows the operator l
 which value of an attribute is followed by which (per entity, in time), keeps the
 direction seen more often and closes it transitively; values on a cycle count as the
 same. An undated record gets the time of the latest dated record of its group whose value
-is the same or comes before its own. With ``outranks`` it is more current than the dated
+is the same or comes before its own. It is more current than the dated
 ones of that time if a value strictly precedes its own and none follows it; else it is
 placed behind them. Among undated records the value with more values before it wins.
 """
@@ -112,7 +112,6 @@ def survivors(
     attributes: list[str],
     timestamp: str = "scanned_at",
     trust: str = "trust_rank",
-    outranks: bool = False,
     rows_per_salt: int = 200_000,
 ) -> DataFrame:
     """(grp, field_name, record_id): the surviving record (``keep``) and the source of each field.
@@ -155,7 +154,7 @@ def survivors(
         around = dated.join(groups.join(touched, "grp", "left_semi"), "path").select("grp", "ts", *attributes)
         placed = _place_undated(scratch, undated, around, precedence, attributes)
         late = undated.join(placed, ["grp", "rid"], "left")
-        place = F.when(F.col("after"), 2).otherwise(0) if outranks else F.lit(0)
+        place = F.when(F.col("after"), 2).otherwise(0)
         entries = entries.unionByName(late.select("grp", *keys(F.col("cur"), place, F.coalesce("level", F.lit(0)))))
     chosen = entries.groupBy("grp").agg(*(F.max(n).alias(n) for n in names))
     rows = F.array(*(F.struct(F.lit(n).alias("field_name"), F.bitwise_not(F.col(f"{n}.back")).alias("record_id")) for n in names))
