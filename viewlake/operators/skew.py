@@ -24,8 +24,8 @@ class Salter:
     def __init__(self, scratch: Scratch, big: DataFrame, keys: list[str], rows_per_salt: int, name: str):
         counted = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > rows_per_salt)
         hot = counted.select(*keys, F.ceil(F.col("_rows") / F.lit(rows_per_salt)).cast("int").alias("_salts"))
-        self.hot = scratch.write(hot, f"hot_{name}")
-        self.n_hot = self.hot.count()
+        self.hot, told = scratch.write_observed(hot, f"hot_{name}", {"n": F.count(F.lit(1))})
+        self.n_hot = told["n"]
         self.keys = keys
         self.join_keys = [*keys, "_salt"]
 

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,6 +52,11 @@ class Scratch:
         df.write.mode("overwrite").parquet(where)
         return self.spark.read.schema(df.schema).parquet(where)
 
+    def write_observed(self, df: DataFrame, name: str, measures: dict[str, Column]) -> tuple[DataFrame, dict]:
+        """The written table and aggregates of its rows, taken by the job that writes it."""
+        told = Observation()
+        return self.write(df.observe(told, *(c.alias(n) for n, c in measures.items())), name), told.get
+
     def drop(self, name: str) -> None:
         self._fs.delete(self._path(f"{self.base}/{name}"), True)
 
