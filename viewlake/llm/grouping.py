@@ -34,16 +34,15 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 def _peel(scratch: Scratch, links: DataFrame, rounds: int) -> tuple[DataFrame, bool]:
     """Vertices reached from the vertex with the most links, and whether all of its component was reached."""
     hub = links.groupBy("src").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "src").limit(1).select(F.col("src").alias("id"))
-    spark = links.sparkSession
-    frontier = scratch.write(hub, "reached/round=0")
+    spark, rows = links.sparkSession, {"n": F.count(F.lit(1))}
+    frontier, told = scratch.write_observed(hub, "reached/round=0", rows)
     seen = lambda: spark.read.schema("id long, round int").parquet(f"{scratch.base}/reached").select("id")
     for r in range(1, rounds + 1):
-        size = frontier.count()
-        if not size:
-            return seen(), True
-        ahead = links.join(_small(frontier.select(F.col("id").alias("src")), size), "src").select(F.col("dst").alias("id")).distinct()
-        frontier = scratch.write(ahead.join(seen(), "id", "left_anti"), f"reached/round={r}")
-    return seen(), frontier.count() == 0
+        if not told["n"]:
+            break
+        ahead = links.join(_small(frontier.select(F.col("id").alias("src")), told["n"]), "src").select(F.col("dst").alias("id")).distinct()
+        frontier, told = scratch.write_observed(ahead.join(seen(), "id", "left_anti"), f"reached/round={r}", rows)
+    return seen(), not told["n"]
 
 
 def connected(scratch: Scratch, edges: DataFrame, search_rounds: int = SEARCH_ROUNDS) -> tuple[DataFrame, int | None]:
@@ -95,8 +94,8 @@ def link_paths(records: DataFrame, pairs: DataFrame, clusters: DataFrame, max_bi
     told = told.select("row", F.explode(named).alias("path"))
     told = scratch.write(told, "told")
     mentions = p.select(F.col("a").alias("path")).unionByName(p.select(F.col("b").alias("path"))).unionByName(told.select("path")).distinct()
-    mentions = scratch.write(mentions, "mentions")
-    few = mentions.count() <= BROADCAST_ROWS
+    mentions, told_of = scratch.write_observed(mentions, "mentions", {"n": F.count(F.lit(1))})
+    few = told_of["n"] <= BROADCAST_ROWS
     known = records.where(F.col("path").isNotNull()).select("path", parse_hash(F.col("perceptual_hash")).alias("h"))
     known = known.join(F.broadcast(mentions) if few else mentions, "path", "left_semi").groupBy("path").agg(F.max("h").alias("h"))
     # ids rise with the paths in byte order, so that the smallest id is the smallest path
