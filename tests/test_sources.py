@@ -8,7 +8,7 @@ import pytest
 from viewlake.cli import main
 from viewlake.config import AuditConfig
 from viewlake.plans.audit import audit
-from viewlake.plans.report import text_report
+from viewlake.plans.report import document, text_report
 from viewlake.sources import colmap, detect, exif, headers, images, video
 
 
@@ -51,7 +51,9 @@ def test_other_limits_and_quality(spark, basic):
     flags = [r["quality_metrics"]["flags"] for r in records.orderBy("ord").collect()]
     assert flags == [["clipped_highlights", "high_noise"], ["clipped_highlights", "high_noise", "sky_or_reflective_dominance"], ["clipped_highlights", "high_noise"]]
     assert [r["recommendation"] for r in report["recommendations"]][-1].startswith("Consider")
-    assert "Flagged images" in text_report(report, [{"path": "x", "flags": ["blurry"]}])
+    lines = list(text_report(report, [{"path": "x", "flags": ["blurry"]}], quality=True, flagged_only=True))
+    assert "- x: blurry" in lines and "- Flagged images: 3" in lines and "- Only flagged images are listed" in lines and lines[0] == "Audit with quality"
+    assert "- No image is flagged" in list(text_report(report, [], quality=True, flagged_only=True)) and "Quality" not in list(text_report(report))
 
 
 def test_duplicates_and_unreadable_files(spark, basic):
@@ -101,7 +103,7 @@ def test_text_model(spark, tmp_path):
     report, records = audit(spark, str(tmp_path / "m"), AuditConfig(quality=True))
     rows = records.orderBy("ord").collect()
     assert [(r["path"], r["width"], r["height"], r["source_exists"]) for r in rows] == [("image_001.jpg", 800, 600, None), ("a", 0, 0, None)]
-    assert codes(report) == ["too_few_images"] and len(report["skipped_checks"]) == 3 and report["metadata"] == {"colmap_model_type": "text"}
+    assert codes(report) == ["too_few_images"] and len(report["skipped_checks"]) == 3 and report["metadata"] == {"colmap_model_type": "text", "quality_enabled": True}
 
 
 def test_empty_point_lines(spark, tmp_path):
@@ -220,10 +222,14 @@ def test_headers():
 
 def test_command_line(spark, basic, tmp_path, capsys):
     assert main(["analyze", str(basic), "--json"], spark) == 0
-    assert json.loads(capsys.readouterr().out)["image_count"] == 3
+    payload = json.loads(capsys.readouterr().out)
+    assert payload["image_count"] == payload["input_summary"]["image_count"] == 3 and payload["input_summary"]["resolved_path"] == str(basic)
+    assert [r["path"] for r in payload["image_records"]] == payload["exif_stats"]["images_without_exif"] and payload["image_records"][0]["quality_metrics"] is None
+    assert payload["validation_stats"] == {"duplicate_image_count": 0, "unreadable_image_count": 0, "unreadable_images": [], "duplicate_clusters": [], "skipped_checks": []}
     assert main(["analyze", str(basic), "--strict", "--json", "--output", str(tmp_path / "r.json"), "--quality", "--flagged-only"], spark) == 2
     out = capsys.readouterr().out
-    assert "Flagged images" in out and json.loads((tmp_path / "r.json").read_text())["quality"]["flagged"] == 3
+    written = json.loads((tmp_path / "r.json").read_text())
+    assert "Flagged images" in out and written["quality"]["flagged"] == 3 and written["image_records"][0]["quality_metrics"]["flags"]
     assert main(["analyze", str(tmp_path / "none")], spark) == 2 and "does not exist" in capsys.readouterr().err
     assert main(["optimize"], spark) == 2
 
@@ -272,6 +278,20 @@ def test_all_skipped_images_are_listed(spark, tmp_path):
     for i in range(1003):
         (tmp_path / f"{i}.webp").write_bytes(data)
     (tmp_path / "bad.png").write_text("no image")
-    report, _ = audit(spark, str(tmp_path), AuditConfig(quality=True))
+    done = audit(spark, str(tmp_path), AuditConfig(quality=True))
+    report, _ = done
     assert report["skipped_counts"] == {"pixels were not decoded": 1003, "unreadable": 1} and len(report["skipped_checks"]) == 2
-    assert spark.read.parquet(report["tables"]["skipped"]).select("path").distinct().count() == 1004
+    assert done.tables["skipped_checks"].select("path").distinct().count() == 1004
+    listed = json.loads("".join(document(report, done.tables)))["validation_stats"]
+    assert len(listed["skipped_checks"]) == 1004 and listed["unreadable_images"] == [str(tmp_path / "bad.png")]
+
+
+def test_document_lists_clusters_with_members(spark, tmp_path):
+    a, b = (np.kron(x, np.ones((2, 2))) for x in patterns()[:2])
+    for name, x in (("1", a), ("2", b), ("3", a), ("4", b), ("5", b)):
+        ppm(tmp_path / f"{name}.ppm", x)
+    done = audit(spark, str(tmp_path))
+    found = json.loads("".join(document(done.report, done.tables)))["validation_stats"]["duplicate_clusters"]
+    names = [[os.path.basename(m) for m in c["members"]] for c in found]
+    assert names == [["2.ppm", "4.ppm", "5.ppm"], ["1.ppm", "3.ppm"]] and [os.path.basename(c["representative"]) for c in found] == ["2.ppm", "1.ppm"]
+    assert all(c["exact"] and c["average_distance"] == 0 for c in found)

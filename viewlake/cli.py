@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from viewlake.config import AuditConfig
 from viewlake.plans.audit import audit
-from viewlake.plans.report import pretty, text_report
+from viewlake.plans.report import document, text_report
 
 
 def parser() -> argparse.ArgumentParser:
@@ -43,24 +43,24 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     )
     spark = spark or SparkSession.builder.appName("viewlake").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     try:
-        report, rated = audit(spark, args.path, config, args.mode, datetime.now(timezone.utc).isoformat(timespec="seconds"))
+        done = audit(spark, args.path, config, args.mode, datetime.now(timezone.utc).isoformat(timespec="seconds"))
     except ValueError as e:
         if args.debug:
             raise
         print(f"viewlake: {e}", file=sys.stderr)
         return 2
-    import json
-
-    text = pretty(json.dumps(report))
     if args.json and args.output:
-        args.output.write_text(text, encoding="utf-8")
+        with args.output.open("w", encoding="utf-8") as f:
+            f.writelines(document(done.report, done.tables))
     if args.json and not args.output:
-        print(text)
+        for piece in document(done.report, done.tables):
+            print(piece, end="")
     else:
-        rows = rated.where(F.size("quality_metrics.flags") > 0).orderBy("ord").select("path", F.col("quality_metrics.flags").alias("flags"))
-        flagged = [r.asDict() for r in rows.toLocalIterator()] if args.quality or args.flagged_only else None
-        print(text_report(report, flagged))
-    return 2 if args.strict and report["has_errors"] else 0
+        rows = done.records.where(F.size("quality_metrics.flags") > 0).orderBy("ord").select("path", F.col("quality_metrics.flags").alias("flags"))
+        flagged = (r.asDict() for r in rows.toLocalIterator())
+        for line in text_report(done.report, flagged, quality=args.quality, flagged_only=args.flagged_only):
+            print(line)
+    return 2 if args.strict and done.report["has_errors"] else 0
 
 
 if __name__ == "__main__":

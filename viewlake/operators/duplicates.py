@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,24 +88,56 @@ def cluster_stats(members: DataFrame, group: str) -> DataFrame:
     return t.select(group, "cluster", "members", (F.col("apart") / pairs).alias("average_distance"), (F.col("apart") == 0).alias("exact"))
 
 
+def _roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, int]:
+    """Merging links (a < b) in the order of a, trees of b going under the root of a: which links joined two trees, and the root of the last join."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    tree, root = np.arange(len(ids)), np.arange(len(ids))
+
+    def find(x: int) -> int:
+        while tree[x] != x:
+            tree[x] = tree[tree[x]]
+            x = tree[x]
+        return x
+
+    joined, last = np.zeros(len(a), bool), 0
+    for k in np.argsort(a, kind="stable"):
+        x, y = find(at[k]), find(at[len(a) + k])
+        if x != y:
+            # the larger index hangs under the smaller, whichever of them has the root of the merge
+            low, high = min(x, y), max(x, y)
+            tree[high], root[low] = low, root[x]
+            joined[k], last = True, low
+    return joined, int(ids[root[last]])
+
+
 def representatives(members: DataFrame, group: str, ident: str, distance: int) -> DataFrame:
     """(group, cluster, representative): the root that merging links in the order of idents ends with.
 
     In order, each record takes the trees of all later records within the distance under
-    the root of its own tree. Clusters are independent, so each is folded by itself; the
-    fold holds two numbers per member and stops as soon as one tree is left.
+    the root of its own tree. Copies of a hash follow its first record and are left out. Each partition
+    first drops links that close a circle of earlier ones, which changes no merge, so that one task per
+    cluster gets about as many links as the cluster has different hashes.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in members.schema}
+    scratch = Scratch(members.sparkSession)
+    kind = members.schema[group].dataType.simpleString()
+    firsts = scratch.write(members.groupBy(F.col(group).alias("g"), "cluster", "h").agg(F.min(ident).cast("long").alias("i")), "firsts")
+    pairs = hamming_join(scratch, firsts.select("g", "cluster", "h"), ["g", "cluster"], distance)
+    ends = lambda h, to: firsts.select("g", "cluster", F.col("h").alias(h), F.col("i").alias(to))
+    links = pairs.join(ends("h_a", "x"), ["g", "cluster", "h_a"]).join(ends("h_b", "y"), ["g", "cluster", "h_b"])
+    links = links.select("g", "cluster", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+    def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                # idents are unique, so links of different clusters never meet
+                yield batch.filter(pa.array(_roots(batch.column(2).to_numpy(), batch.column(3).to_numpy())[0]))
 
     def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(ident)
-        h, root = rows["h"].to_numpy().astype(np.uint64), np.arange(len(rows))
-        for i in range(len(rows)):
-            if (root == root[0]).all():
-                break
-            near = np.flatnonzero(np.bitwise_count(h[i + 1 :] ^ h[i]) <= distance) + i + 1
-            if len(near):
-                root[np.isin(root, np.unique(root[near]))] = root[i]
-        return pd.DataFrame({group: [key[0]], "cluster": [key[1]], "representative": [rows[ident].iloc[int(root[0])]]})
-
-    return members.groupBy(group, "cluster").applyInPandas(fold, f"`{group}` {kinds[group]}, cluster bigint, representative {kinds[ident]}")
+        return pd.DataFrame({"g": [key[0]], "cluster": [key[1]], "representative": [_roots(rows["a"].to_numpy(), rows["b"].to_numpy())[1]]})
+
+    slim = links.mapInArrow(forest, f"g {kind}, cluster bigint, a bigint, b bigint")
+    found = slim.groupBy("g", "cluster").applyInPandas(fold, f"g {kind}, cluster bigint, representative bigint")
+    # a cluster of one hash has no links
+    first = firsts.groupBy("g", "cluster").agg(F.min("i").alias("first"))
+    out = first.join(found, ["g", "cluster"], "left")
+    return out.select(F.col("g").alias(group), "cluster", F.coalesce("representative", "first").alias("representative"))

@@ -306,6 +306,15 @@ member AS (SELECT * FROM placed WHERE members > 1)"""
 _IMAGE_CLUSTERS = "WITH RECURSIVE " + _IMAGE_HASH + ", vertices AS (SELECT dataset_id AS grp, record_id AS id, h FROM hashed)" + _components("vertices").replace("BITS", "6")
 _TILE_CLUSTERS = "WITH RECURSIVE " + _TILE_HASH + ", vertices AS (SELECT 'tiles' AS grp, vec_id AS id, h FROM hashes)" + _components("vertices").replace("BITS", "20")
 
+# one list per cluster, in order of idents: step i puts the trees of all later members near i under i's root
+_ROOTS = """, lists AS (SELECT grp, cluster, list(id ORDER BY id) AS ids, list(h ORDER BY id) AS hs FROM member GROUP BY grp, cluster),
+merging AS (SELECT grp, cluster, ids, hs, ids AS roots, 1::BIGINT AS i FROM lists
+  UNION ALL SELECT grp, cluster, ids, hs,
+    CASE WHEN len(near) = 0 THEN roots ELSE list_transform(roots, lambda r: CASE WHEN list_contains(near, r) THEN roots[i] ELSE r END) END, i + 1 FROM (
+    SELECT *, list_transform(list_filter(range(i + 1, len(ids) + 1), lambda j: bit_count(xor(hs[j], hs[i])) <= 6), lambda j: roots[j]) AS near FROM merging WHERE i < len(ids))),
+root AS (SELECT grp AS dataset_id, cluster, roots[1] AS representative FROM merging WHERE i = len(ids))"""
+_PAIRS = "SELECT a.grp AS dataset_id, a.cluster, max(a.members) AS members, sum(bit_count(xor(a.h, b.h)))::DOUBLE / count(*) AS average_distance, sum(bit_count(xor(a.h, b.h))) = 0 AS exact FROM member a JOIN member b ON a.grp = b.grp AND a.cluster = b.cluster AND a.id < b.id GROUP BY a.grp, a.cluster"
+
 _PIXELS = """WITH cells AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS p, unnest(embedding)::DOUBLE AS v FROM embeddings WHERE len(embedding) = 64),
 level AS (SELECT vec_id, p, floor(least(255.0::DOUBLE, greatest(0.0::DOUBLE, (v * ([0.02, 1.0, 3.0, 6.0]::DOUBLE[])[vec_id % 4 + 1] + ([0.1, 0.3, 0.5, 0.7, 0.9]::DOUBLE[])[vec_id % 5 + 1]) * 255.0::DOUBLE)))::BIGINT AS t FROM cells),
 px AS (SELECT a.vec_id, a.p // 8 AS y, a.p % 8 AS x, a.t AS b, g.t AS g, r.t AS r FROM level a
@@ -370,6 +379,38 @@ found AS (
 _ADVICE = ", ".join(f"({i}, '{code}', '{text}')" for i, (code, text) in enumerate(rules.ADVICE))
 
 
+def _listed(table: str, order: str, fields: str) -> str:
+    """A CTE of one list of structs per dataset, in order."""
+    return f"(SELECT dataset_id, list(struct_pack({fields}) ORDER BY {order}) AS x FROM {table} GROUP BY dataset_id)"
+
+
+_MESSAGES = """CASE code WHEN 'too_few_images' THEN images || ' images; at least 10 are needed' WHEN 'low_image_count' THEN images || ' images; 30 are advised'
+    WHEN 'unreadable_images' THEN n_unreadable || ' files could not be read' WHEN 'mixed_orientations' THEN 'portrait and landscape images are mixed' WHEN 'resolution_variance' THEN 'resolutions differ widely'
+    WHEN 'missing_exif' THEN 'no image carries metadata' WHEN 'duplicate_images' THEN n_clusters || ' groups of duplicates' WHEN 'multiple_parent_groups' THEN n_folders || ' folders with several images'
+    WHEN 'mixed_focal_lengths' THEN 'focal lengths differ by a factor of two or more' ELSE flagged || ' images are flagged' END"""
+_REPORT = f"""{_FOUND}{_ROOTS},
+issue AS (SELECT found.dataset_id, ord::INT AS ord, severity, code, {_MESSAGES} AS message FROM found JOIN facts USING (dataset_id)),
+told AS (SELECT dataset_id, code FROM found UNION ALL SELECT dataset_id, 'many_flagged' FROM facts WHERE flagged >= 3),
+advice AS (SELECT dataset_id, recommendation, min(ord)::INT AS ord FROM told JOIN (VALUES {_ADVICE}) a(ord, code, recommendation) USING (code) GROUP BY dataset_id, recommendation),
+res AS (SELECT dataset_id, width || 'x' || height AS resolution, count(*) AS images FROM image_records WHERE {_SIZED} GROUP BY ALL),
+ori AS (SELECT dataset_id, min(record_id) AS first_seen, CASE WHEN width = height THEN 'square' WHEN width > height THEN 'landscape' ELSE 'portrait' END AS orientation, count(*) AS images FROM image_records WHERE {_SIZED} GROUP BY ALL),
+clu AS (SELECT p.dataset_id, -members AS rank, representative, cluster, members, round(average_distance, 4) AS average_distance, exact FROM ({_PAIRS}) p JOIN root USING (dataset_id, cluster)),
+exi AS (SELECT dataset_id, count(exif.focal_length_mm) AS with_focal, count(*) FILTER (WHERE exif.gps_latitude IS NOT NULL AND exif.gps_longitude IS NOT NULL) AS with_position FROM image_records WHERE readable GROUP BY dataset_id),
+sev AS (SELECT dataset_id, count(*) FILTER (WHERE severity = 'error') AS errors, count(*) FILTER (WHERE severity = 'warning') AS warnings, count(*) FILTER (WHERE severity = 'info') AS infos FROM found GROUP BY dataset_id)
+SELECT f.dataset_id, to_json(struct_pack(mode := 'image_folder', generated_at := NULL::VARCHAR, collection := f.dataset_id, image_count := images, has_errors := coalesce(errors, 0) > 0,
+  issue_counts := struct_pack(errors := coalesce(errors, 0), warnings := coalesce(warnings, 0), infos := coalesce(infos, 0)),
+  resolution_stats := struct_pack(resolutions := r.x, orientations := o.x, pixel_count_variation := pixel_count_variation),
+  exif_stats := struct_pack(images_with_exif := with_exif, images_with_focal_length := coalesce(with_focal, 0), images_with_gps := coalesce(with_position, 0), images_without := n_readable - with_exif),
+  record_stats := struct_pack(n_readable := n_readable, n_unreadable := n_unreadable, with_exif := with_exif, focal_ratio := round(focal_ratio, 4), n_folders := n_folders),
+  duplicates := struct_pack(n_clusters := n_clusters, n_duplicates := n_duplicates, duplicate_clusters := c.x), quality := struct_pack(analysed := analysed, flagged := flagged),
+  issues := i.x, recommendations := a.x))::VARCHAR AS report
+FROM facts f LEFT JOIN sev USING (dataset_id) LEFT JOIN exi USING (dataset_id) LEFT JOIN {_listed("res", "resolution", "resolution := resolution, images := images")} r USING (dataset_id)
+  LEFT JOIN {_listed("ori", "first_seen", "first_seen := first_seen, orientation := orientation, images := images")} o USING (dataset_id)
+  LEFT JOIN {_listed("clu", "rank, representative", "rank := rank, representative := representative, cluster := cluster, members := members, average_distance := average_distance, exact := exact")} c USING (dataset_id)
+  LEFT JOIN {_listed("issue", "ord", "ord := ord, severity := severity, code := code, message := message")} i USING (dataset_id)
+  LEFT JOIN {_listed("advice", "ord", "ord := ord, recommendation := recommendation")} a USING (dataset_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "supported_files": """SELECT s AS suffix, s IN ('.jpg', '.jpeg', '.png', '.bmp', '.tif', '.tiff', '.webp', '.ppm') AS supported, count(*) AS files
@@ -401,8 +442,9 @@ WHERE k % 2 = 1""",
         "hamming_pairs": f"""WITH {_TILE_HASH}, d AS (SELECT DISTINCT h FROM hashes)
 SELECT lower(lpad(hex(a.h), 16, '0')) AS hash_a, lower(lpad(hex(b.h), 16, '0')) AS hash_b, bit_count(xor(a.h, b.h))::BIGINT AS bits FROM d a JOIN d b ON a.h < b.h AND bit_count(xor(a.h, b.h)) <= 20""",
         "duplicate_members": _IMAGE_CLUSTERS + " SELECT grp AS dataset_id, id AS record_id, cluster FROM member",
-        "cluster_stats": _IMAGE_CLUSTERS + """ SELECT a.grp AS dataset_id, a.cluster, max(a.members) AS members, sum(bit_count(xor(a.h, b.h)))::DOUBLE / count(*) AS average_distance, sum(bit_count(xor(a.h, b.h))) = 0 AS exact
-FROM member a JOIN member b ON a.grp = b.grp AND a.cluster = b.cluster AND a.id < b.id GROUP BY a.grp, a.cluster""",
+        "cluster_stats": _IMAGE_CLUSTERS + " " + _PAIRS,
+        "cluster_representatives": _IMAGE_CLUSTERS + _ROOTS + " SELECT dataset_id, cluster, representative FROM root",
+        "report_json": _REPORT,
         "tile_clusters": _TILE_CLUSTERS + " SELECT id AS vec_id, cluster FROM member",
         "tile_blur": _PIXELS + _BLUR + " SELECT * FROM blur",
         "tile_exposure": _PIXELS + _EXPOSURE + " SELECT vec_id, exposure_mean, round(exposure_std, 9) AS exposure_std FROM expo",
