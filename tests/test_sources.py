@@ -1,6 +1,7 @@
 import json
 import os
 import struct
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -174,7 +175,7 @@ def test_video_frames(spark, tmp_path):
     with pytest.raises(ValueError, match="no frames"):
         video.extract_frames(str(clip), 2.0, str(tmp_path / "other"), lambda *a: None)
     with pytest.raises(ValueError, match="ffmpeg"):
-        video.extract_frames(str(clip))
+        video.extract_frames(str(clip), 2.0, str(tmp_path / "none"))
 
 
 def tiff(order="<"):
@@ -295,3 +296,26 @@ def test_document_lists_clusters_with_members(spark, tmp_path):
     names = [[os.path.basename(m) for m in c["members"]] for c in found]
     assert names == [["2.ppm", "4.ppm", "5.ppm"], ["1.ppm", "3.ppm"]] and [os.path.basename(c["representative"]) for c in found] == ["2.ppm", "1.ppm"]
     assert all(c["exact"] and c["average_distance"] == 0 for c in found)
+
+
+def test_damaged_text_model_beside_images_is_an_image_folder(spark, basic):
+    for name, text in (("cameras.txt", "1 PINHOLE wide 4 1 1 1 1\n"), ("images.txt", ""), ("points3D.txt", "")):
+        (basic / name).write_text(text)
+    assert detect.detect_mode(str(basic)) == "image_folder"
+    (basic / "cameras.txt").write_text("1 PINHOLE 4 4 1 1 1 1\n")
+    (basic / "images.txt").write_text("1 1 0 0 0 0 0 0 1\n\n")  # no name
+    assert detect.detect_mode(str(basic)) == "image_folder"
+    (basic / "images.txt").write_text("1 1 0 0 0 0 0 0 1 a.jpg\n1 2 3\n")
+    assert detect.detect_mode(str(basic)) == "colmap_text"
+
+
+def test_video_frames_go_to_the_shared_folder(spark, tmp_path):
+    clip = tmp_path / "clip.mp4"
+    clip.write_text("")
+
+    def fake(video, pattern, fps):
+        for i in (1, 2):
+            ppm(Path(pattern % i), np.full((3, 3), i * 50))
+
+    report, _ = audit(spark, str(clip), extractor=fake)
+    assert report["input_summary"]["extracted_frame_count"] == 2 and "frames-" in report["metadata"]["extracted_frame_dir"]

@@ -24,10 +24,12 @@ class AuditConfig:
     quality: bool = False
 
 
+# fixed values: limits of the scene checks and of the clean-up advice
 #: Scene checks: readable images, images of a folder, folders, ratio of focal lengths.
 SCENE_IMAGES, FOLDER_IMAGES, FOLDERS, FOCAL_RATIO = 10, 3, 3, 2.0
 #: From this many flagged images on, a clean-up is recommended.
 CLEANUP_IMAGES = 3
+# fixed values: suffixes of inputs and files of a sparse model
 IMAGE_SUFFIXES = (".jpg", ".jpeg", ".png", ".bmp", ".tif", ".tiff", ".webp", ".ppm")
 VIDEO_SUFFIXES = (".mp4", ".mov", ".avi", ".mkv", ".webm", ".m4v")
 MODEL_FILES = ("cameras", "images", "points3D")

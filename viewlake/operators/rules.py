@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from viewlake.config import CLEANUP_IMAGES, FOCAL_RATIO, FOLDERS, SCENE_IMAGES, AuditConfig
 from viewlake.operators import stats
 
+# fixed values: codes and severities that readers of reports look for
 #: (code, severity) in the order in which findings are listed.
 FINDINGS = [
     ("too_few_images", "error"), ("low_image_count", "warning"), ("unreadable_images", "error"), ("mixed_orientations", "warning"),

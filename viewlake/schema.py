@@ -22,5 +22,5 @@ IMAGE_RECORD = fields(
     "perceptual_hash string, notes strings, quality_metrics quality",
     exif=EXIF, quality=QUALITY,
 )
-CAMERA = fields("camera_id int, width bigint, height bigint")
+ORDERED_CAMERA = fields("ord bigint, camera_id int, width bigint, height bigint")
 MODEL_IMAGE = fields("ord bigint, image_id int, camera_id int, name string")

@@ -28,12 +28,22 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def local_path(shared: str) -> str:
+    """The plain path of a shared folder that is mounted as one, for programs that write plain files; ValueError for any other."""
+    if "://" in shared and not shared.startswith("file://") or not shared.startswith(("file:", "/")):
+        raise ValueError(f"{shared} is no plain folder")
+    return "/" + shared.removeprefix("file:").lstrip("/")
+
+
+_WRITTEN: list = []
+
+
 class Scratch:
     """Intermediate tables written to the shared folder, which cut lineage.
 
     A written table outlives any executor, so a later stage never has to
     recompute an iteration that is done. Tables are removed by ``drop`` as soon
-    as a successor exists; what is left goes when the JVM ends.
+    as a successor exists; what is left goes with ``clear`` or when the JVM ends.
     """
 
     def __init__(self, spark: SparkSession):
@@ -43,6 +53,7 @@ class Scratch:
         self._fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._fs.mkdirs(path)  # only what exists can be marked for deletion
         self._fs.deleteOnExit(path)
+        _WRITTEN.append((self._fs, path))
 
     def _path(self, name: str):
         return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
@@ -61,6 +72,13 @@ class Scratch:
         self._fs.delete(self._path(f"{self.base}/{name}"), True)
 
 
+def clear() -> None:
+    """Delete all intermediate tables of this process. Results not yet read or written elsewhere are lost with them; for sessions that run many queries."""
+    while _WRITTEN:
+        fs, path = _WRITTEN.pop()
+        fs.delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; a plain file or a folder of part files."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))

@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+import io
 import os
 import struct
+from collections.abc import Callable, Iterator
+from functools import partial
+from itertools import dropwhile, islice
+from typing import BinaryIO
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from viewlake.config import MODEL_FILES
 from viewlake.operators.stats import with_cameras
-from viewlake.schema import CAMERA, MODEL_IMAGE
+from viewlake.schema import MODEL_IMAGE, ORDERED_CAMERA
 
+#: Records per batch, and bytes read ahead for a name.
+PIECE, NAME_BYTES = 10_000, 128
 # fixed values: number of parameters per camera model id
 PARAMETERS = {0: 3, 1: 4, 2: 4, 3: 5, 4: 8, 5: 8, 6: 12, 7: 5, 8: 4, 9: 5, 10: 12}
 
@@ -28,109 +38,157 @@ def detect_model(folder: str) -> str | None:
 
 
 class Reader:
-    """Little-endian fields of a byte string; ValueError at its end."""
+    """Little-endian fields of an open file, read in turn; ValueError at its end."""
 
-    def __init__(self, data: bytes):
-        self.data, self.at = data, 0
+    def __init__(self, file: BinaryIO):
+        self.file = file
+        self.size = file.seek(0, io.SEEK_END)
+        file.seek(0)
 
     def take(self, fmt: str) -> tuple:
         size = struct.calcsize(fmt)
-        if self.at + size > len(self.data):
+        data = self.file.read(size)
+        if len(data) < size:
             raise ValueError("file ends in the middle of a record")
-        out = struct.unpack_from(fmt, self.data, self.at)
-        self.at += size
-        return out
-
-    def name(self) -> str:
-        end = self.data.find(b"\0", self.at)
-        if end < 0:
-            raise ValueError("file ends in the middle of a name")
-        out = self.data[self.at : end].decode("utf-8")
-        self.at = end + 1
-        return out
+        return struct.unpack(fmt, data)
 
+    def skip(self, size: int) -> None:
+        if self.file.seek(size, io.SEEK_CUR) > self.size:
+            raise ValueError("file ends in the middle of a record")
 
-def read_cameras_binary(data: bytes) -> list[tuple[int, int, int]]:
-    """(camera_id, width, height); a later camera of the same id replaces an earlier one."""
-    r, out = Reader(data), {}
-    for _ in range(r.take("<Q")[0]):
+    def name(self) -> str:
+        at, out = self.file.tell(), b""
+        while b"\0" not in out:
+            more = self.file.read(NAME_BYTES)
+            if not more:
+                raise ValueError("file ends in the middle of a name")
+            out += more
+        out = out[: out.index(b"\0")]
+        self.file.seek(at + len(out) + 1)
+        return out.decode("utf-8")
+
+
+def cameras_binary(file: BinaryIO) -> Iterator[tuple[int, int, int, int]]:
+    """(ord, camera_id, width, height) in file order."""
+    r = Reader(file)
+    for i in range(r.take("<Q")[0]):
         camera, kind, width, height = r.take("<iiQQ")
         if kind not in PARAMETERS:
             raise ValueError(f"unknown camera model {kind}")
-        r.at += 8 * PARAMETERS[kind]
-        out[camera] = (camera, width, height)
-    return list(out.values())
+        r.skip(8 * PARAMETERS[kind])
+        yield i, camera, width, height
 
 
-def read_images_binary(data: bytes) -> list[tuple[int, int, int, str]]:
-    """(ord, image_id, camera_id, name) in file order."""
-    r, out = Reader(data), []
+def images_binary(file: BinaryIO) -> Iterator[tuple[int, int, int, str]]:
+    """(ord, image_id, camera_id, name) in file order; points are skipped unread."""
+    r = Reader(file)
     for i in range(r.take("<Q")[0]):
         (image,) = r.take("<i")
-        r.take("<7d")
+        r.skip(7 * 8)
         (camera,) = r.take("<i")
         name = r.name()
-        (points,) = r.take("<Q")
-        r.at += 24 * points
-        out.append((i, image, camera, name))
-    return out
+        r.skip(24 * r.take("<Q")[0])
+        yield i, image, camera, name
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, line) of one file, in order."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
+def _lines(file: BinaryIO) -> Iterator[str]:
+    for line in io.TextIOWrapper(file, encoding="utf-8"):
+        line = line.rstrip("\n")
+        if not line.startswith("#"):
+            yield line.strip(" \t\r")
 
 
-def cameras_text(spark: SparkSession, path: str) -> DataFrame:
-    """camera_id, width, height of cameras.txt; comments and blank lines skipped, the last row of an id counts."""
-    rows = _lines(spark, path).withColumn("line", F.btrim("line", F.lit(" \t\r"))).where((F.col("line") != "") & ~F.startswith("line", F.lit("#")))
-    parts = F.split("line", r"\s+")
-    rows = rows.select("line_no", F.get(parts, 0).cast("int").alias("camera_id"), F.get(parts, 2).cast("bigint").alias("width"), F.get(parts, 3).cast("bigint").alias("height"))
-    last = rows.groupBy("camera_id").agg(F.max(F.struct("line_no", "width", "height")).alias("r"))
-    return last.select("camera_id", "r.width", "r.height")
+def _field(parts: list[str], at: int) -> str:
+    if at >= len(parts):
+        raise ValueError("a line has too few fields")
+    return parts[at]
 
 
-def images_text(spark: SparkSession, path: str, keep_empty_points: bool = False) -> DataFrame:
-    """ord, image_id, camera_id, name of images.txt.
+def cameras_lines(file: BinaryIO) -> Iterator[tuple[int, int, int, int]]:
+    """(ord, camera_id, width, height) of cameras.txt; comments and blank lines skipped."""
+    for i, line in enumerate(x for x in _lines(file) if x and not x.startswith("#")):
+        parts = line.split()
+        yield i, int(parts[0]), int(_field(parts, 2)), int(_field(parts, 3))
+
+
+def images_lines(file: BinaryIO, keep_empty_points: bool = False) -> Iterator[tuple[int, int, int, str]]:
+    """(ord, image_id, camera_id, name) of images.txt.
 
     Every second line is an image. By default blank lines are dropped before counting,
     so an image whose line of points is empty shifts the rest; with
     ``keep_empty_points`` only leading and comment lines are dropped and such images are read right.
     A name with blanks ends at the first one.
     """
-    rows = _lines(spark, path)
-    blank = F.btrim("line", F.lit(" \t\r")) == ""
-    if keep_empty_points:
-        rows = rows.where(~F.startswith("line", F.lit("#")))
-        lines = rows.groupBy().agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("ls")).select(F.transform("ls", lambda x: x["line"]).alias("ls"))
-        start = F.array_position(F.transform("ls", lambda x: F.btrim(x, F.lit(" \t\r")) != ""), True)
-        lines = lines.where(start > 0).select(F.slice("ls", start.cast("int"), F.size("ls")).alias("ls"))
-    else:
-        rows = rows.where(~blank & ~F.startswith("line", F.lit("#")))
-        lines = rows.groupBy().agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("ls")).select(F.transform("ls", lambda x: x["line"]).alias("ls"))
-    heads = lines.select(F.posexplode("ls").alias("pos", "line")).where((F.col("pos") % 2 == 0) & (F.btrim("line", F.lit(" \t\r")) != ""))
-    parts = F.split(F.btrim("line", F.lit(" \t\r")), r"\s+")
-    return heads.select((F.col("pos") / 2).cast("bigint").alias("ord"), F.element_at(parts, 1).cast("int").alias("image_id"), F.element_at(parts, 9).cast("int").alias("camera_id"), F.element_at(parts, 10).alias("name"))
+    lines = _lines(file)
+    lines = dropwhile(lambda x: not x, lines) if keep_empty_points else (x for x in lines if x)
+    for pos, line in enumerate(lines):
+        if pos % 2 == 0 and line:
+            parts = line.split()
+            yield pos // 2, int(parts[0]), int(_field(parts, 8)), _field(parts, 9)
 
 
-def read_model(spark: SparkSession, folder: str) -> tuple[str, DataFrame, DataFrame]:
-    """(kind, cameras, images) of a model folder; ValueError if it is none. points3D is required but not read.
+READERS = {("binary", "cameras"): cameras_binary, ("binary", "images"): images_binary, ("text", "cameras"): cameras_lines, ("text", "images"): images_lines}
 
-    A binary file is a sequence of records of varying length and can't be split: one task reads it.
-    """
+
+def read_cameras_binary(data: bytes) -> list[tuple[int, int, int]]:
+    """(camera_id, width, height); a later camera of the same id replaces an earlier one."""
+    return list({c: (c, w, h) for _, c, w, h in cameras_binary(io.BytesIO(data))}.values())
+
+
+def read_images_binary(data: bytes) -> list[tuple[int, int, int, str]]:
+    """(ord, image_id, camera_id, name) in file order."""
+    return list(images_binary(io.BytesIO(data)))
+
+
+def _path(folder: str, kind: str, part: str) -> str:
+    return os.path.join(folder, part + (".bin" if kind == "binary" else ".txt"))
+
+
+def check_model(folder: str, kind: str) -> None:
+    """ValueError if a file of the model is damaged. The files are walked through once, record by record, and nothing of them is kept."""
+    for part in MODEL_FILES[:2]:
+        with open(_path(folder, kind, part), "rb") as f:
+            for _ in READERS[kind, part](f):
+                pass
+
+
+def _parsed(spark: SparkSession, path: str, read: Callable, schema: T.StructType) -> DataFrame:
+    """Records of one file, read by one task in pieces: they vary in length, so it can't be split. The file must be visible to all executors."""
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                with open(name, "rb") as f:
+                    rows = read(f)
+                    while piece := list(islice(rows, PIECE)):
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*piece), arrow.types)], schema=arrow)
+
+    return spark.createDataFrame([(path,)], "path string").coalesce(1).mapInArrow(run, schema)
+
+
+def _last(cameras: DataFrame) -> DataFrame:
+    last = cameras.groupBy("camera_id").agg(F.max(F.struct("ord", "width", "height")).alias("r"))
+    return last.select("camera_id", "r.width", "r.height")
+
+
+def cameras_text(spark: SparkSession, path: str) -> DataFrame:
+    """camera_id, width, height of cameras.txt; the last row of an id counts."""
+    return _last(_parsed(spark, path, cameras_lines, ORDERED_CAMERA))
+
+
+def images_text(spark: SparkSession, path: str, keep_empty_points: bool = False) -> DataFrame:
+    """ord, image_id, camera_id, name of images.txt, as ``images_lines``."""
+    return _parsed(spark, path, partial(images_lines, keep_empty_points=keep_empty_points), MODEL_IMAGE)
+
+
+def read_model(spark: SparkSession, folder: str) -> tuple[str, DataFrame, DataFrame]:
+    """(kind, cameras, images) of a model folder; ValueError if it is none. points3D is required but not read."""
     kind = detect_model(folder)
     if kind is None:
         raise ValueError(f"no sparse model in {folder}")
-    cameras, images = (os.path.join(folder, f + (".bin" if kind == "binary" else ".txt")) for f in MODEL_FILES[:2])
-    if kind == "text":
-        return kind, cameras_text(spark, cameras), images_text(spark, images)
-
-    def parsed(path: str, read, schema) -> DataFrame:
-        with open(path, "rb") as f:
-            return spark.createDataFrame(read(f.read()), schema)
-
-    return kind, parsed(cameras, read_cameras_binary, CAMERA), parsed(images, read_images_binary, MODEL_IMAGE)
+    cameras, images = (_path(folder, kind, part) for part in MODEL_FILES[:2])
+    return kind, _last(_parsed(spark, cameras, READERS[kind, "cameras"], ORDERED_CAMERA)), _parsed(spark, images, READERS[kind, "images"], MODEL_IMAGE)
 
 
 def model_records(images: DataFrame, cameras: DataFrame) -> DataFrame:

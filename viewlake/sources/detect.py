@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 from viewlake.config import AuditConfig
+from viewlake.session import local_path, shared_dir
 from viewlake.sources import colmap, images, video
 
 IMAGE_FOLDER, VIDEO, MODEL_TEXT, MODEL_BINARY = "image_folder", "video", "colmap_text", "colmap_binary"
@@ -25,9 +27,7 @@ def _found(path: Path, recursive: bool) -> str:
     kind = colmap.detect_model(str(path))
     if kind:
         try:
-            if kind == "binary":
-                colmap.read_cameras_binary((path / "cameras.bin").read_bytes())
-                colmap.read_images_binary((path / "images.bin").read_bytes())
+            colmap.check_model(str(path), kind)
             return MODEL_BINARY if kind == "binary" else MODEL_TEXT
         except ValueError:
             pass  # a damaged model beside images counts as an image folder
@@ -72,7 +72,7 @@ def load(spark: SparkSession, path: str, forced: str | None = None, config: Audi
         found = images.list_images(path, config.recursive)
         return Loaded(mode, images.scan(spark, found, path))
     if mode == VIDEO:
-        frames = video.extract_frames(path, config.fps, extractor=extractor)
+        frames = video.extract_frames(path, config.fps, local_path(f"{shared_dir(spark)}/frames-{uuid.uuid4().hex}"), extractor=extractor)
         folder = str(Path(frames[0]).parent)
         return Loaded(mode, images.scan(spark, frames, folder), {"extracted_frame_dir": folder, "extracted_frame_count": len(frames)})
     kind, cameras, pictures = colmap.read_model(spark, path)

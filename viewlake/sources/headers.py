@@ -14,15 +14,18 @@ class NotAnImage(ValueError):
     pass
 
 
+PPM_TOKEN = re.compile(rb"#[^\n]*\n?|(\d+)|(\S)")
+
+
 def _ppm_tokens(data: bytes, n: int) -> tuple[list[int], int]:
     """The first n numbers after the magic, and where they end; comments run to the end of a line."""
     out, at = [], 2
-    for m in re.finditer(rb"#[^\n]*\n?|(\d+)|(\S)", data[2:]):
+    for m in PPM_TOKEN.finditer(data, 2):
         if m.group(2):
             break
         if m.group(1):
             out.append(int(m.group(1)))
-            at = 2 + m.end()
+            at = m.end()
             if len(out) == n:
                 break
     if len(out) < n:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import mmap
 import os
+import shutil
 import uuid
 from collections.abc import Iterator
 from pathlib import Path
@@ -11,12 +13,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BooleanType, StructType
 
 from viewlake.config import IMAGE_SUFFIXES, AuditConfig
 from viewlake.functions import kernels
 from viewlake.functions.columns import quality_flags
 from viewlake.schema import IMAGE_RECORD
-from viewlake.session import Scratch, shared_dir
+from viewlake.session import Scratch, local_path, shared_dir
 from viewlake.sources.headers import NotAnImage, is_deep_gray, ppm_pixels, read_header
 
 #: Formats whose pixels the JVM decodes.
@@ -61,6 +65,7 @@ def scan(spark: SparkSession, paths: list[str], base: str, *, pixels: bool = Tru
     n = partitions or max(1, min(len(paths), 4 * spark.sparkContext.defaultParallelism))
     rows = spark.createDataFrame(list(enumerate(paths)), "ord bigint, path string").repartition(n)
     root = str(Path(base).resolve())
+    links = _link_folder(spark) if pixels else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,39 +75,41 @@ def scan(spark: SparkSession, paths: list[str], base: str, *, pixels: bool = Tru
                 parent = "." if folder == root else os.path.relpath(folder, root) if folder.startswith(root + "/") else os.path.basename(folder)
                 row = {"ord": order, "path": path, "width": 0, "height": 0, "readable": False, "source_exists": os.path.exists(path), "parent_relative": parent, "notes": [], "by_jvm": False}
                 try:
-                    with open(path, "rb") as f:
-                        data = f.read()
-                    kind, w, h, exif = read_header(data)
-                    row |= {"format": kind, "width": w, "height": h, "readable": True, "exif": exif or None}
-                    if pixels:
-                        try:
-                            if kind in JVM_FORMATS:
-                                if is_deep_gray(data):
-                                    raise NotAnImage("gray of more than 8 bits")
-                                row["by_jvm"] = True
-                            else:
-                                row |= _measured(decode(data))
-                        except NotAnImage as e:
-                            row["notes"].append(f"pixels were not decoded: {e}")
+                    with open(path, "rb") as f, _mapped(f) as data:  # of a header only the pages it is on are read
+                        kind, w, h, exif = read_header(data)
+                        row |= {"format": kind, "width": w, "height": h, "readable": True, "exif": exif or None}
+                        if pixels:
+                            try:
+                                if kind in JVM_FORMATS:
+                                    if is_deep_gray(data):
+                                        raise NotAnImage("gray of more than 8 bits")
+                                    if links is None:
+                                        raise NotAnImage("the shared folder takes no links")
+                                    row["by_jvm"] = True
+                                    _link(path, f"{links}/{order}")
+                                else:
+                                    row |= _measured(decode(data[:]))
+                            except NotAnImage as e:
+                                row["notes"].append(f"pixels were not decoded: {e}")
                 except (OSError, NotAnImage) as e:
                     row["notes"].append(f"could not be read: {e}")
                 out.append(row)
             yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import BooleanType, StructType
-
     schema = StructType([*IMAGE_RECORD.fields]).add("by_jvm", BooleanType())
     arrow = to_arrow_schema(schema)
     records = rows.mapInArrow(run, schema)
     if not pixels:
         return records.drop("by_jvm")
     scratch = Scratch(spark)
-    records = scratch.write(records, "headers")
-    left = {r["ord"]: r["path"] for r in records.where("by_jvm").select("ord", "path").toLocalIterator()}
-    if not left:
-        return records.drop("by_jvm")
-    measured = _measures_by_jvm(spark, scratch, left).select("ord", F.col("perceptual_hash").alias("_hash"), F.col("quality_metrics").alias("_metrics"))
+    try:
+        records, told = scratch.write_observed(records, "headers", {"by_jvm": F.count(F.when(F.col("by_jvm"), 1))})
+        if not told["by_jvm"]:
+            return records.drop("by_jvm")
+        measured = _measures_by_jvm(spark, scratch, links).select("ord", F.col("perceptual_hash").alias("_hash"), F.col("quality_metrics").alias("_metrics"))
+    finally:
+        if links:
+            shutil.rmtree(links, ignore_errors=True)
     out = records.join(measured, "ord", "left")
     note = F.array(F.lit("pixels were not decoded: the JVM can't"))
     return out.select(
@@ -114,22 +121,38 @@ def scan(spark: SparkSession, paths: list[str], base: str, *, pixels: bool = Tru
     )
 
 
-def _measures_by_jvm(spark: SparkSession, scratch: Scratch, paths: dict[int, str]) -> DataFrame:
+def _mapped(file):
+    try:
+        return mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
+    except ValueError as e:
+        raise NotAnImage("empty file") from e
+
+
+def _link(path: str, link: str) -> None:
+    """A symbolic link; one that an earlier attempt of the task left is as good."""
+    try:
+        os.symlink(path, link)
+    except FileExistsError:
+        pass
+
+
+def _link_folder(spark: SparkSession) -> str | None:
+    try:
+        links = local_path(f"{shared_dir(spark)}/links-{uuid.uuid4().hex}")
+    except ValueError:
+        return None
+    os.makedirs(links)
+    return links
+
+
+def _measures_by_jvm(spark: SparkSession, scratch: Scratch, links: str) -> DataFrame:
     """(ord, perceptual_hash, quality_metrics) of the files that the JVM decodes.
 
     Files are given to the reader as links named by their place, in the shared folder: so
     names that it leaves out (_, .) or takes for patterns count, and rows find their records.
     """
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
     schema = StructType([f for f in IMAGE_RECORD.fields if f.name in ("ord", "perceptual_hash", "quality_metrics")])
     arrow = to_arrow_schema(schema)
-    shared = shared_dir(spark)
-    if "://" in shared and not shared.startswith("file://") or not shared.startswith(("file:", "/")):
-        return spark.createDataFrame([], schema)  # no folder for links
-    links = Path("/" + shared.removeprefix("file:").lstrip("/")) / f"links-{uuid.uuid4().hex}"
-    links.mkdir(parents=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,23 +163,16 @@ def _measures_by_jvm(spark: SparkSession, scratch: Scratch, paths: dict[int, str
                 out.append({"ord": order.as_py()} | _measured(bgr))
             yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
+    decoded = scan_with_jvm(spark, f"file://{links}").where("w > 0 AND h > 0")
+    decoded = decoded.select(F.regexp_extract("path", r"(\d+)$", 1).cast("bigint").alias("ord"), "h", "w", "channels", "data")
+    # pixels are large: a batch of the usual number of rows wouldn't fit
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, IMAGES_AT_ONCE)
     try:
-        for order, path in paths.items():
-            os.symlink(path, links / str(order))
-        decoded = scan_with_jvm(spark, f"file://{links}").where("w > 0 AND h > 0")
-        decoded = decoded.select(F.regexp_extract("path", r"(\d+)$", 1).cast("bigint").alias("ord"), "h", "w", "channels", "data")
-        # pixels are large: a batch of the usual number of rows wouldn't fit
-        setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
-        before = spark.conf.get(setting)
-        spark.conf.set(setting, IMAGES_AT_ONCE)
-        try:
-            return scratch.write(decoded.mapInArrow(run, schema), "measured")
-        finally:
-            spark.conf.set(setting, before)
+        return scratch.write(decoded.mapInArrow(run, schema), "measured")
     finally:
-        for link in links.iterdir():
-            link.unlink()
-        links.rmdir()
+        spark.conf.set(setting, before)
 
 
 def with_quality(records: DataFrame, config: AuditConfig = AuditConfig()) -> DataFrame:

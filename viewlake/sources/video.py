@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import subprocess
-import tempfile
 from collections.abc import Callable
 from pathlib import Path
 
@@ -23,9 +22,9 @@ def _ffmpeg(video: str, pattern: str, fps: float) -> None:
         raise ValueError(f"ffmpeg failed: {done.stderr[-300:]}")
 
 
-def extract_frames(video: str, fps: float = 2.0, folder: str | None = None, extractor: Callable[[str, str, float], None] = _ffmpeg) -> list[str]:
+def extract_frames(video: str, fps: float, folder: str, extractor: Callable[[str, str, float], None] = _ffmpeg) -> list[str]:
     """Frames of a video as files in order. ``folder`` must be visible to all executors; ``extractor`` writes numbered files by a pattern."""
-    folder = folder or tempfile.mkdtemp(prefix="frames-")
+    Path(folder).mkdir(parents=True, exist_ok=True)
     extractor(video, f"{folder}/frame_%06d.png", fps)
     frames = sorted(str(p) for p in Path(folder).glob("frame_*"))
     if not frames:
