@@ -19,7 +19,7 @@ from viewlake.operators.skew import BROADCAST_ROWS
 
 OPEN_BINS = 256
 #: Items per packer, about: enough that the bins left open at its end are few among all.
-ITEMS_PER_PACKER = 200_000
+ITEMS_PER_PACKER = 25_000
 
 
 class Packer:
@@ -79,9 +79,9 @@ def pack(items: DataFrame, targets: DataFrame, item: str, size: str, *, open_bin
     kind = items.schema[item].dataType.simpleString()
     sized = items.where(F.col(item).isNotNull() & (F.col(size) > 0))
     packers = max(1, -(-sized.count() // items_per_packer))
-    # A grouping by id of rows already dealt by a hash of the id needs no exchange of its own.
+    # Packer i is partition i, so every task has one.
     dealt = sized.select(F.col(item).alias("item"), F.col(size).cast("long").alias("size"), F.pmod(F.xxhash64(item), F.lit(packers)).cast("int").alias("packer"))
-    dealt = dealt.repartition(packers, "packer").groupBy("packer", "item").agg(F.max("size").alias("size")).sortWithinPartitions("packer", "item")
+    dealt = dealt.repartitionById(packers, F.col("packer")).groupBy("packer", "item").agg(F.max("size").alias("size")).sortWithinPartitions("packer", "item")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, state = None, {}
