@@ -66,7 +66,7 @@ def _name_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.select("model_id", "image_id", "dataset_id", "registered_at", F.when(plain != "", plain).alias("plain"))
 
 
-def _name_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _name_orphans(spark: SparkSession, sf_dir: str, semantics: str = "simple") -> DataFrame:
     records = table(spark, sf_dir, "image_records")
     prefix = F.concat(F.lit("/captures/"), F.col("dataset_id"), F.lit("/"))
     inner = F.when(F.startswith("path", prefix), F.expr("substr(path, length(dataset_id) + 12)"))
@@ -77,7 +77,7 @@ def _name_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return find_orphans(
         _name_refs(spark, sf_dir), partners, ["dataset_id", "plain"], ref_time="registered_at", valid_from="seen_at", valid_to="gone_at",
-        id_cols=["model_id", "image_id"],
+        id_cols=["model_id", "image_id"], semantics=semantics,
     ).withColumn("ref_kind", F.lit("name"))
 
 
@@ -97,8 +97,18 @@ def p6_orphans_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _orphans(spark, sf_dir).groupBy(table_name.alias("table_name"), "reason", month.alias("month")).agg(F.count(F.lit(1)).alias("orphans"))
 
 
+def p6_partial_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References by dataset and name where a blank name or a null dataset leaves the other column to match some image: orphans at the time of registration."""
+    return _name_orphans(spark, sf_dir, "partial").select("reason", "model_id", "image_id").distinct()
+
+
+def p6_full_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same where a key must be given as a whole or not at all."""
+    return _name_orphans(spark, sf_dir, "full").select("reason", "model_id", "image_id").distinct()
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_neighbour_counts, p2_footprints, p6_found, p6_orphans_by_month)}
+    return {f.__name__: f for f in (p2_found, p2_neighbour_counts, p2_footprints, p6_found, p6_orphans_by_month, p6_partial_names, p6_full_names)}
 
 
 _VALID = """valid AS (SELECT DISTINCT record_id, exif.gps_latitude AS lat, exif.gps_longitude AS lon FROM image_records
@@ -140,6 +150,20 @@ orphans AS (
   FROM (SELECT * FROM cam UNION ALL SELECT * FROM nam) WHERE NOT coalesce(present, false))"""
 
 
+_MASKED = r"""WITH img AS (SELECT DISTINCT model_id, image_id, dataset_id, name, registered_at FROM colmap_images),
+raw AS (SELECT *, nullif(lower(replace(trim(name, E' \t'), '\', '/')), '') AS r FROM img),
+refs AS (SELECT model_id, image_id, dataset_id, registered_at, CASE WHEN starts_with(r, './') THEN nullif(substr(r, 3), '') ELSE r END AS plain FROM raw),
+recs AS (SELECT dataset_id, scanned_at, coalesce(source_exists, true) AS there, lower(replace(trim(substr(path, length(dataset_id) + 12), E' \t'), '\', '/')) AS plain FROM image_records),
+both_cols AS (SELECT dataset_id, plain, min(scanned_at) FILTER (WHERE there) AS f, max(scanned_at) FILTER (WHERE there) AS l FROM recs WHERE dataset_id IS NOT NULL AND plain IS NOT NULL GROUP BY ALL),
+sets AS (SELECT dataset_id, min(scanned_at) FILTER (WHERE there) AS f, max(scanned_at) FILTER (WHERE there) AS l FROM recs WHERE dataset_id IS NOT NULL GROUP BY ALL),
+names AS (SELECT plain, min(scanned_at) FILTER (WHERE there) AS f, max(scanned_at) FILTER (WHERE there) AS l FROM recs WHERE plain IS NOT NULL GROUP BY ALL),
+seen AS (
+  SELECT 'whole' AS mask, x.*, p.f, p.l, p.plain IS NOT NULL AS known FROM refs x LEFT JOIN both_cols p ON p.dataset_id = x.dataset_id AND p.plain = x.plain WHERE x.dataset_id IS NOT NULL AND x.plain IS NOT NULL
+  UNION ALL SELECT 'part', x.*, p.f, p.l, p.dataset_id IS NOT NULL FROM refs x LEFT JOIN sets p ON p.dataset_id = x.dataset_id WHERE x.dataset_id IS NOT NULL AND x.plain IS NULL
+  UNION ALL SELECT 'part', x.*, p.f, p.l, p.plain IS NOT NULL FROM refs x LEFT JOIN names p ON p.plain = x.plain WHERE x.dataset_id IS NULL AND x.plain IS NOT NULL),
+told AS (SELECT *, CASE WHEN NOT known THEN 'missing' WHEN l > registered_at THEN 'late' ELSE 'deleted' END AS reason, coalesce(f <= registered_at, false) AS present FROM seen)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": _NEAR + " SELECT record_a, record_b FROM pairs",
@@ -157,6 +181,8 @@ FROM hull h JOIN owned o ON o.lon BETWEEN h.w AND h.e AND o.lat BETWEEN h.s AND
   AND o.lon + o.lat BETWEEN h.sw AND h.ne AND o.lon - o.lat BETWEEN h.nw AND h.se
 GROUP BY h.dataset_id""",
         "p6_found": _ORPHANS + " SELECT DISTINCT ref_kind, reason, model_id, image_id FROM orphans",
+        "p6_partial_names": _MASKED + " SELECT DISTINCT reason, model_id, image_id FROM told WHERE NOT present",
+        "p6_full_names": _MASKED + " SELECT DISTINCT CASE WHEN mask = 'part' THEN 'partial_null' ELSE reason END AS reason, model_id, image_id FROM told WHERE mask = 'part' OR NOT present",
         "p6_orphans_by_month": _ORPHANS + """
 SELECT CASE WHEN ref_kind = 'camera' THEN 'colmap_cameras' ELSE 'image_records' END AS table_name, reason,
   strftime(registered_at, '%Y-%m') AS month, count(*) AS orphans FROM orphans GROUP BY ALL""",
