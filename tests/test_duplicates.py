@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from viewlake.operators.components import spread_minima
-from viewlake.operators.duplicates import cluster_stats, duplicate_members, hamming_join, representatives
+from viewlake.operators.duplicates import bands_to_agree, cluster_stats, duplicate_members, hamming_join, representatives
 from viewlake.session import Scratch
 
 
@@ -39,12 +39,16 @@ def hashes(seed, n):
     return out
 
 
-@pytest.mark.parametrize("distance", [0, 3, 6, 20])
-@pytest.mark.parametrize("salt", [20_000, 5])
-def test_pairs_equal_brute_force(spark, distance, salt):
+def test_more_bands_for_larger_groups():
+    assert [bands_to_agree(6, n) for n in (10, 200_000, 10_000_000)] == [1, 2, 3]
+    assert bands_to_agree(20, 10_000_000) == 1 and bands_to_agree(0, 0) == 1
+
+
+@pytest.mark.parametrize("distance, salt, agreeing", [(0, 20_000, None), (3, 5, 2), (3, 20_000, 3), (6, 20_000, None), (6, 5, 2), (6, 20_000, 3), (20, 20_000, None), (20, 5, 1)])
+def test_pairs_equal_brute_force(spark, distance, salt, agreeing):
     rows = sorted({(g, h) for g, _, h in hashes(distance, 120)})
     df = spark.createDataFrame([(g, signed(h)) for g, h in rows] + [("a", None)], "g string, h bigint")
-    got = sorted((r["g"], r["h_a"], r["h_b"], r["bits"]) for r in hamming_join(Scratch(spark), df, ["g"], distance, salt).collect())
+    got = sorted((r["g"], r["h_a"], r["h_b"], r["bits"]) for r in hamming_join(Scratch(spark), df, ["g"], distance, salt, agreeing).collect())
     want = sorted((g, signed(a), signed(b), bin(a ^ b).count("1")) for g, a in rows for k, b in rows if g == k and signed(a) < signed(b) and bin(a ^ b).count("1") <= distance)
     assert got == want
 

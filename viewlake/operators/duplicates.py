@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -15,10 +17,14 @@ from viewlake.operators.components import spread_minima
 from viewlake.operators.skew import Salter
 from viewlake.session import Scratch
 
+#: Most bands in a key of the join by distance, and most keys of a row.
+MOST_AGREEING, MOST_KEYS = 3, 300
+#: Cost of shuffling a key, in candidate pairs compared (measured).
+KEY_COST = 20
 
-def _bands(distance: int) -> list[tuple[int, int]]:
-    """(shift, mask) of distance + 1 disjoint bands of the 64 bits: hashes within the distance agree on at least one."""
-    n = distance + 1
+
+def _bands(n: int) -> list[tuple[int, int]]:
+    """(shift, mask) of n disjoint bands of the 64 bits."""
     cuts = [64 * i // n for i in range(n + 1)]
     return [(a, (1 << (b - a)) - 1) for a, b in zip(cuts, cuts[1:])]
 
@@ -28,27 +34,50 @@ def _band(h: Column, shift: int, mask: int) -> Column:
     return value.bitwiseAND(F.lit(mask)) if mask < (1 << 63) else value
 
 
-def hamming_join(scratch: Scratch, hashes: DataFrame, groups: list[str], distance: int, rows_per_salt: int = 20_000) -> DataFrame:
+def bands_to_agree(distance: int, rows: int, most: int = MOST_AGREEING) -> int:
+    """Number r of bands that join keys are made of: of distance + r bands, hashes within the distance agree on r at least.
+
+    More bands in a key mean more keys per row, but far fewer candidates; the choice for the
+    largest group of ``rows`` hashes is the one with the least of both together. The result is the same for every r.
+    """
+    def cost(r: int) -> float:
+        keys = math.comb(distance + r, r)
+        return keys * rows * (KEY_COST + rows / 2 ** (1 + 64 * r / (distance + r)))
+
+    return min((r for r in range(1, most + 1) if r == 1 or math.comb(distance + r, r) <= MOST_KEYS), key=cost)
+
+
+def hamming_join(scratch: Scratch, hashes: DataFrame, groups: list[str], distance: int, rows_per_salt: int = 20_000, agreeing: int | None = None) -> DataFrame:
     """(groups, h_a, h_b, bits) of hashes of one group at most ``distance`` (0 to 31) bits apart, h_a < h_b, each pair once.
 
     hashes: the group columns and h (bigint), each once; copies are collapsed before. An
-    equi-join on bands, exact by the pigeonhole principle; a pair that agrees on several
-    bands is taken at the first of them only, so no distinct is needed. Hot band values
-    are spread over tasks. Null hashes join nothing.
+    equi-join on bands, exact by the pigeonhole principle; a pair that agrees on more
+    bands than needed is taken at the first ones only, so no distinct is needed. Hot band values
+    are spread over tasks. Null hashes join nothing. ``agreeing``: bands in a key, by default as the largest group asks for.
     """
-    bands = _bands(distance)
-    h = F.col("h")
-    parts = F.array(*(F.struct(F.lit(i).alias("band"), _band(h, s, m).alias("value")) for i, (s, m) in enumerate(bands)))
-    rows = hashes.where(h.isNotNull()).select(*groups, "h", F.explode(parts).alias("p")).select(*groups, "h", "p.band", "p.value")
-    keys = [*groups, "band", "value"]
-    salter = Salter(scratch, rows, keys, rows_per_salt, "bands")
+    hashes = hashes.where(F.col("h").isNotNull())
+    if agreeing is None:
+        most = hashes.groupBy(*groups).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+        agreeing = bands_to_agree(distance, most)
+    bands, h = _bands(distance + agreeing), F.col("h")
+    keys = []
+    for chosen in combinations(range(len(bands)), agreeing):
+        value, at = F.lit(0).cast("bigint"), 0
+        for i in chosen:
+            value = value.bitwiseXOR(F.shiftleft(_band(h, *bands[i]), at))
+            at += bands[i][1].bit_length()
+        keys.append(F.struct(F.lit(sum(1 << i for i in chosen)).cast("bigint").alias("bands"), F.lit((2 << chosen[-1]) - 1).cast("bigint").alias("upto"), value.alias("value")))
+    rows = hashes.select(*groups, "h", F.explode(F.array(*keys)).alias("p")).select(*groups, "h", "p.bands", "p.upto", "p.value")
+    join = [*groups, "bands", "value"]
+    salter = Salter(scratch, rows, join, rows_per_salt, "bands")
     left = salter.big(rows, ["h"]).withColumnRenamed("h", "h_a")
-    right = salter.other(rows.withColumnRenamed("h", "h_b"))
+    right = salter.other(rows.drop("upto").withColumnRenamed("h", "h_b"))
     x = F.col("h_a").bitwiseXOR(F.col("h_b"))
-    first = F.lit(len(bands))
-    for i in reversed(range(len(bands))):
-        first = F.when(_band(x, *bands[i]) == 0, F.lit(i)).otherwise(first)
-    met = left.join(right, salter.join_keys).where((F.col("h_a") < F.col("h_b")) & (hamming(F.col("h_a"), F.col("h_b")) <= distance) & (F.col("band") == first))
+    agree = F.lit(0).cast("bigint")
+    for i, band in enumerate(bands):
+        agree = agree.bitwiseOR(F.when(_band(x, *band) == 0, F.lit(1 << i).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
+    first = agree.bitwiseAND(F.col("upto")) == F.col("bands")
+    met = left.join(right, salter.join_keys).where((F.col("h_a") < F.col("h_b")) & (hamming(F.col("h_a"), F.col("h_b")) <= distance) & first)
     return met.select(*groups, "h_a", "h_b", hamming(F.col("h_a"), F.col("h_b")).alias("bits"))
 
 
