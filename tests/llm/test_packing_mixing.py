@@ -64,6 +64,19 @@ def test_tokens_of_odd_texts(spark):
     assert (got[2], got[3]) == (0, 0) and got[1] == len(own.encode_ordinary(texts[0][1])) and got[5] > 1000
 
 
+def test_vocabulary_is_a_setting(spark, tmp_path):
+    import base64
+
+    path = tmp_path / "bytes.tiktoken"
+    path.write_text("".join(f"{base64.b64encode(bytes([i])).decode()} {i}\n" for i in range(256)))
+    df = spark.createDataFrame([(1, "häuser")], "doc_id int, text string")
+    spark.conf.set(tokens.SETTING, str(path))
+    try:
+        assert tokens.with_token_counts(df, "text").first()["n_tokens"] == 7
+    finally:
+        spark.conf.unset(tokens.SETTING)
+
+
 def leaf(source, weight, available, repeats=1, domain="d", language="en"):
     return {"source": source, "weight": weight, "available": available, "max_repeats": repeats, "domain": domain, "language": language}
 

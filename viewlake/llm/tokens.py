@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 
 from viewlake.session import spread
 
+#: Setting of a session with the path of the rank file.
+SETTING = "spark.viewlake.vocabulary"
 #: Rank file of a byte-level BPE; a parameter everywhere, never copied.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The word pattern published with that vocabulary.
@@ -28,8 +30,9 @@ def encoding(vocabulary: str, pattern: str):
     return tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def with_token_counts(df: DataFrame, text: str, *, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
-    """``df`` without its text column and with n_tokens (bigint); a null or empty text has 0 tokens. Whole texts are encoded."""
+def with_token_counts(df: DataFrame, text: str, *, vocabulary: str | None = None, pattern: str = PATTERN) -> DataFrame:
+    """``df`` without its text column and with n_tokens (bigint); a null or empty text has 0 tokens. Whole texts are encoded. ``vocabulary`` defaults to the session's SETTING, and that to VOCABULARY."""
+    vocabulary = vocabulary or df.sparkSession.conf.get(SETTING, VOCABULARY)
     keep = [c for c in df.columns if c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
